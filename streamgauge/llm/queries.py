@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, license_scan, line_dedup, packing, pii, quality, setjoin, token_store, url_filter, warc
-from .common import table
+from .common import kept, table
 
 #: Host and path rules of the URL filter (fixed values).
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -36,7 +36,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = warc.write(table(spark, sf_dir, "pages"))
-    captures = warc.assemble(warc.read(spark, names, with_content=False))
+    captures = warc.assemble(kept(warc.read(spark, names, with_content=False), "warc-records"))
     return captures.select(
         F.col("response.capture_key").alias("page_id"),
         F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),

@@ -160,19 +160,20 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: capture_id, request, response (a response or revisit record), metadata.
 
     A record belongs to the capture of the response or revisit that it names, that names it, or that a record it names
-    names. Records of no capture are left out; of several requests (or metadata records) of a capture the one with the
+    names. Joins are by sorting: what Spark knows of the size of records read from archives is the size of the list of files.
+    Records of no capture are left out; of several requests (or metadata records) of a capture the one with the
     least id is taken.
     """
     main = F.col("record_type").isin("response", "revisit")
     named = records.select("record_id", "record_type", F.explode_outer("concurrent_to").alias("to"))
     heads = named.where(main).select("record_id").distinct()
     others = named.where(~main & F.col("record_type").isin("request", "metadata"))
-    direct = others.join(heads.withColumnRenamed("record_id", "to"), "to", "left_semi").select("record_id", F.col("to").alias("capture_id"))
+    direct = others.join(heads.withColumnRenamed("record_id", "to").hint("merge"), "to", "left_semi").select("record_id", F.col("to").alias("capture_id"))
     reverse = named.where(main & F.col("to").isNotNull()).select(F.col("to").alias("record_id"), F.col("record_id").alias("capture_id"))
     first = direct.unionByName(reverse).groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
-    second = others.join(first.select("record_id"), "record_id", "left_anti").where("to is not null").join(first.select(F.col("record_id").alias("to"), "capture_id"), "to").groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
+    second = others.join(first.select("record_id").hint("merge"), "record_id", "left_anti").where("to is not null").join(first.select(F.col("record_id").alias("to"), "capture_id").hint("merge"), "to").groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
     owner = first.unionByName(second).unionByName(heads.select("record_id", F.col("record_id").alias("capture_id")))
     body = F.struct(*[c for c in records.columns])
-    own = records.join(owner, "record_id")
+    own = records.join(owner.hint("merge"), "record_id")
     pick = lambda kinds: F.min_by(F.when(F.col("record_type").isin(*kinds), body), F.when(F.col("record_type").isin(*kinds), F.col("record_id")))
     return own.groupBy("capture_id").agg(pick(["request"]).alias("request"), pick(["response", "revisit"]).alias("response"), pick(["metadata"]).alias("metadata")).where("response is not null")
