@@ -365,9 +365,9 @@ def a10_value_table(spark, sf_dir):
     return audit.value_table(scored(spark, sf_dir), ["lang", "quality"], "toxic").withColumn("rate", F.round("rate", 6))
 
 
-@query("with c as (select count(*) as n from events group by user_id) select quantile_cont(n, 0.0)::double as q000, quantile_cont(n, 0.1)::double as q010, quantile_cont(n, 0.5)::double as q050, quantile_cont(n, 0.9)::double as q090, quantile_cont(n, 1.0)::double as q100 from c")
+@query("with c as (select count(*) as n from events group by user_id) select round(quantile_cont(n, 0.0)::double, 6) as q000, round(quantile_cont(n, 0.1)::double, 6) as q010, round(quantile_cont(n, 0.5)::double, 6) as q050, round(quantile_cont(n, 0.9)::double, 6) as q090, round(quantile_cont(n, 1.0)::double, 6) as q100 from c")
 def a14_entity_quantiles(spark, sf_dir):
-    return audit.group_size_quantiles(t(spark, sf_dir, "events"), "user_id", [0.0, 0.1, 0.5, 0.9, 1.0])
+    return audit.group_size_quantiles(t(spark, sf_dir, "events"), "user_id", [0.0, 0.1, 0.5, 0.9, 1.0]).select(*r6("q000", "q010", "q050", "q090", "q100"))
 
 
 @query("with c as (select user_id, count(*) filter (where event_type = 'error') as p from events group by 1), r as (select p, row_number() over (order by p desc, user_id) as rn, greatest(floor(count(*) over () / 10), 1) as k from c) select round(sum(case when rn <= k then p else 0 end) / sum(p), 6) as share from r")
