@@ -153,7 +153,7 @@ class Join:
         sizes = {r.level: r.n for r in found.groupBy(F.floor(F.log2("c")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
         while sum(n for level, n in sizes.items() if 2 ** (level + 1) > floor) > self.most_heavy:
             floor *= 2
-        return np.sort(np.array([r.h for r in found.where(F.col("c") >= floor).select("h").toLocalIterator()], np.uint64))
+        return np.sort(np.array([r.h for r in found.where(F.col("c") >= floor).select("h").coalesce(8).toLocalIterator()], np.uint64))
 
     def postings(self, heavies: np.ndarray) -> DataFrame:
         """Pass 2: the index. A row for each shingle in the prefix of a set."""
@@ -327,7 +327,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64))], names=["w", "bit"])
 
         words = np.zeros(bits // 64, np.uint64)
-        for r in keys.select("key").mapInArrow(mark, "w long, bit long").groupBy("w").agg(F.expr("bit_or(bit)").alias("bit")).toLocalIterator():  # at most bits / 64 rows
+        for r in keys.select("key").mapInArrow(mark, "w long, bit long").groupBy("w").agg(F.expr("bit_or(bit)").alias("bit")).coalesce(8).toLocalIterator():  # at most bits / 64 rows; a job a partition
             words[r.w] = np.uint64(r.bit & 0xFFFFFFFFFFFFFFFF)
         shared = self.spark.sparkContext.broadcast(words)
 
