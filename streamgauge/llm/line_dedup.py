@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, kept, ship
+from .keybits import KeyBits
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,9 +139,13 @@ def _before(many: DataFrame) -> DataFrame:
 
 
 def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 16, least_words: int = 20, length_column: str | None = "n_chars") -> DataFrame:
-    """``docs`` with the common blocks cut from the later documents, and ``_gone``: the number of lines cut."""
+    """``docs`` with the common blocks cut from the later documents, and ``_gone``: the number of lines cut.
+
+    A bitmap of the keys with lines to cut picks the documents to join; the texts of all others are not shuffled.
+    """
     gone = kept(removals(docs, key, text, rare, least_words), "lines-gone").select(F.col("k").alias("_k"), F.col("same").alias("_same"), F.col("gone").alias("_places"))
-    joined = docs.join(gone, (F.col(key) == F.col("_k")) & (F.xxhash64(text) == F.col("_same")), "left")
+    may = KeyBits(gone, "_k").column(F.col(key).cast("long"))
+    joined = docs.where(may).join(gone, (F.col(key).cast("long") == F.col("_k")) & (F.xxhash64(text) == F.col("_same")), "left")
     wordy = f"x rlike '[^{BLANKS}]'".replace("\\", "\\\\")
     # _at: the line of each place; _off: lines to delete, with blank lines between two neighbouring places
     out = joined.withColumn("_lines", F.when(F.col("_places").isNotNull(), F.split(text, "\n", -1)))
@@ -157,4 +162,5 @@ def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
             columns.append(F.when(F.col("_places").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
-    return out.select(*columns, "_gone")
+    rest_of = docs.where(~may).select("*", F.lit(0).alias("_gone"))
+    return out.select(*columns, "_gone").unionByName(rest_of)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, parts, ship, text_of
 from .components import components
+from .keybits import KeyBits
 from .wordhash import mix, shingle_hashes, word_hashes
 
 _BITS = 40
@@ -316,27 +317,12 @@ class Join:
         size = self.size
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         keys = kept(scanned.where("kind = 0").select("key", "node").join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")), "setjoin-keys")
-        bits = 1 << min(27, max(16, (16 * keys.count()).bit_length()))
-
-        def places(k: np.ndarray) -> np.ndarray:
-            return np.stack([mix(k.astype(np.uint64) + np.uint64(i)) & np.uint64(bits - 1) for i in (1, 2)])
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = places(batch.column("key").drop_null().to_numpy(zero_copy_only=False)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64))], names=["w", "bit"])
-
-        words = np.zeros(bits // 64, np.uint64)
-        for r in keys.select("key").mapInArrow(mark, "w long, bit long").groupBy("w").agg(F.expr("bit_or(bit)").alias("bit")).coalesce(8).toLocalIterator():  # at most bits / 64 rows; a job a partition
-            words[r.w] = np.uint64(r.bit & 0xFFFFFFFFFFFFFFFF)
-        shared = self.spark.sparkContext.broadcast(words)
+        may = KeyBits(keys, "key")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = shared.value
             for batch in batches:
                 key = batch.column("key")
-                at = places(key.fill_null(0).to_numpy(zero_copy_only=False))
-                hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0) | key.is_null().to_numpy(zero_copy_only=False)
+                hit = may.holds(key.fill_null(0).to_numpy(zero_copy_only=False)) | key.is_null().to_numpy(zero_copy_only=False)
                 rows = []
                 for i in np.flatnonzero(hit).tolist():
                     shingles = _set_of(batch.column("text")[i].as_py(), size)
