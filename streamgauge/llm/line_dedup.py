@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment (operator 1).
 
-Documents that share rare line hashes are aligned by patience diff, and aligned common blocks are deleted from the later
-document (that of the larger key). A line is rare when at most ``rare`` documents hold it: then every later document is
-paired with every earlier one of them. Lines in more documents pair each later document with the first that holds the
-line and with the holder just before it, so that no line is left out and pairs grow in proportion to lines, whatever a
-line's count is.
+Documents that share hashes of line runs are aligned by patience diff, and aligned common blocks are deleted from the later
+document (that of the larger key). The runs are the shortest ones with ``least_words`` words, so that two documents with a
+common block share one. A run is rare when at most ``rare`` documents hold it: then every later document is paired with
+every earlier one of them. Runs in more documents pair each later document with the first holder; where that leaves a
+place of the run, further holders follow, at last all of them. So the result is that of aligning all pairs. Documents with the
+same lines go but for the first, which alone is a partner of others.
 
 A block is a run of aligned lines without a gap, in both documents. It goes where it holds at least ``least_words``
 words. Lines are compared as they are without their outer blanks; lines without a word are no lines: they stay, except
@@ -20,13 +21,17 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, kept, ship
 from .keybits import KeyBits
 
+#: Odd factor of the hashes of runs (a fixed value). Equal hashes of unequal runs only add a pair to align.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence, of pairs sorted by their first number, whose second numbers rise (patience sorting)."""
@@ -88,25 +93,50 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
     return gone
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 16, least_words: int = 20) -> DataFrame:
-    """key, same (hash of the text), gone: the places, among the lines with words, of lines to delete. Only documents with some."""
-    ship(docs.sparkSession)
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, f"^[{BLANKS}]+|[{BLANKS}]+$", "")), lambda x: x != "")
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("same"), lines.alias("lines"))
-    rows = rows.select("k", "same", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.size(F.split(x, f"[{BLANKS}]+"))).alias("w")).where("size(h) > 0")
-    held = kept(rows, "lines")
-    once = held.groupBy("k").agg(F.min("same").alias("same"))
-    held = held.join(once, ["k", "same"]).dropDuplicates(["k"])
-    held = kept(held, "lines-once")
-    each = held.select("k", F.explode(F.array_distinct("h")).alias("line"))
-    counts = each.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).where("n > 1")
-    shared = kept(each.join(counts, "line"), "lines-shared")
-    few = shared.where(F.col("n") <= rare)
-    ordered = few.groupBy("line").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most ``rare`` keys
-    pairs = ordered.select(F.explode(F.expr("flatten(transform(sequence(1, size(ks) - 1), j -> transform(slice(ks, 1, j), a -> struct(a as a, ks[j] as b))))")).alias("p")).select("p.a", "p.b")
-    many = shared.where(F.col("n") > rare)
-    firsts = many.where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
-    pairs = kept(pairs.unionByName(firsts).unionByName(_before(many)).distinct(), "lines-pairs")
+def _runs(h: np.ndarray, w: np.ndarray, sizes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents whose lines lie one after another: document, hash, first and last line of each shortest run.
+
+    For each line these are the shortest run from it on and the shortest run up to it with ``least_words`` words. A block
+    with that many words holds, for each of its lines, one of these runs with the line in it.
+    """
+    n = len(h)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none, none, none
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    start = (np.cumsum(sizes) - sizes)[doc]
+    total = np.concatenate([[0], np.cumsum(w)])
+    at = np.arange(n)
+    ahead = np.searchsorted(total, total[:-1] + least_words) - 1  # last line of the run from each line on
+    back = np.searchsorted(total, total[1:] - least_words, "right") - 1  # first line of the run up to each line
+    on, up = (ahead < start + sizes[doc]) & (ahead < n), (back >= start)
+    runs = np.unique(np.concatenate([np.stack([at, ahead], 1)[on], np.stack([back, at], 1)[up]]), axis=0)
+    first, last = runs[:, 0], runs[:, 1]
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _FACTOR, np.uint64)]))
+    under = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(int(_FACTOR), -1, 1 << 64), np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.astype(np.int64).view(np.uint64) * powers)])
+    keys = (sums[last + 1] - sums[first]) * under[first] + (last - first).astype(np.uint64)
+    return doc[first], keys.view(np.int64), first - start[first], last - start[first]
+
+
+def _run_rows(held: DataFrame, least_words: int) -> DataFrame:
+    """k, run, i, j: the shortest runs of each document with their first and last places."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w = batch.column("h"), batch.column("w")
+            sizes = np.diff(h.offsets.to_numpy())
+            doc, run, i, j = _runs(h.flatten().to_numpy(), w.flatten().to_numpy().astype(np.int64), sizes, least_words)
+            k = batch.column("k").to_numpy()[doc]
+            for at in range(0, len(k), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(run[part]), pa.array(i[part].astype(np.int32)), pa.array(j[part].astype(np.int32))], names=["k", "run", "i", "j"])
+
+    return held.select("k", "h", "w").mapInArrow(cut, "k long, run long, i int, j int")
+
+
+def _aligned(pairs: DataFrame, held: DataFrame, least_words: int) -> DataFrame:
+    """k, i: places in the later documents of the blocks that the pairs (a, b) share."""
     left = held.select(F.col("k").alias("a"), F.col("h").alias("ha"))
     right = held.select(F.col("k").alias("b"), F.col("h").alias("hb"), "w")
 
@@ -120,22 +150,64 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
 
     found = pairs.join(left, "a").join(right, "b").select("b", "ha", "hb", "w").mapInArrow(align, "k long, gone array<int>")
-    gone = found.select("k", F.explode("gone").alias("i")).distinct().groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("gone"))
+    return found.select("k", F.explode("gone").alias("i")).distinct()
+
+
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 16, least_words: int = 20) -> DataFrame:
+    """key, same (hash of the text), gone: the places, among the lines with words, of lines to delete. Only documents with some."""
+    ship(docs.sparkSession)
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, f"^[{BLANKS}]+|[{BLANKS}]+$", "")), lambda x: x != "")
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("same"), lines.alias("lines"))
+    rows = rows.select("k", "same", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.size(F.split(x, f"[{BLANKS}]+"))).alias("w")).where("size(h) > 0")
+    held = kept(rows, "lines")
+    once = held.groupBy("k").agg(F.min("same").alias("same"))
+    held = held.join(once, ["k", "same"]).dropDuplicates(["k"])
+    held = held.where(F.aggregate("w", F.lit(0), lambda s, x: s + x) >= least_words).withColumn("lines", F.xxhash64("h"))
+    held = kept(held, "lines-once")
+    # documents with the lines of an earlier one go whole, and the earliest stands for them as a partner
+    leaders = held.groupBy("lines").agg(F.min("k").alias("leader"))
+    ranked = held.join(leaders, "lines")
+    copies = ranked.where("k > leader").select("k", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("i"))
+    heads = kept(ranked.where("k = leader").select("k", "h", "w"), "lines-heads")
+    runs = kept(_run_rows(heads, least_words), "lines-runs")
+    each = runs.select("run", "k").distinct()
+    counts = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).where("n > 1")
+    shared = kept(each.join(counts, "run"), "lines-shared")
+    ordered = shared.where(F.col("n") <= rare).groupBy("run").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most ``rare`` keys
+    pairs = ordered.select(F.explode(F.expr("flatten(transform(sequence(1, size(ks) - 1), j -> transform(slice(ks, 1, j), a -> struct(a as a, ks[j] as b))))")).alias("p")).select("p.a", "p.b")
+    many = shared.where(F.col("n") > rare)
+    firsts = many.where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    done = kept(pairs.unionByName(firsts).distinct(), "lines-pairs")
+    gone = kept(_aligned(done, heads, least_words), "lines-aligned")
+    gone = _rest(runs, many, heads, done, gone, least_words)
+    gone = gone.unionByName(copies).groupBy("k").agg(F.sort_array(F.collect_set("i")).alias("gone"))
     return gone.join(held.select("k", "same"), "k")
 
 
-def _before(many: DataFrame) -> DataFrame:
-    """Pairs of each holder of a frequent line with the holder just before it.
+def _rest(runs: DataFrame, many: DataFrame, heads: DataFrame, done: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
+    """``gone`` with what further holders of frequent runs give where the first holder left a place of the run.
 
-    Holders are ranged by key into blocks, so that a line's holders spread over tasks; within a block a window gives the
-    neighbour, and the first of a block takes the last of the block before it.
+    Each round asks about four times as many holders (those whose hash ends in enough zeros), the last one all of them. A
+    run all of whose places in a document are gone needs no further holder, so the result is that of all pairs.
     """
-    blocks = many.select("line", "k", F.floor(F.col("k") / 4096).alias("block"))
-    own = blocks.withColumn("a", F.lag("k").over(Window.partitionBy("line", "block").orderBy("k")))
-    ends = blocks.groupBy("line", "block").agg(F.min("k").alias("head"), F.max("k").alias("tail"))
-    ends = ends.withColumn("a", F.lag("tail").over(Window.partitionBy("line").orderBy("block")))
-    across = ends.where("a is not null").select("a", F.col("head").alias("b"))
-    return own.where("a is not null").select("a", F.col("k").alias("b")).unionByName(across)
+    places = runs.join(many.where("k <> first").select("run", "k", "n"), ["run", "k"])
+    holders = many.select("run", F.col("k").alias("a"), F.expr("bit_count((xxhash64(k) & -xxhash64(k)) - 1)").alias("zeros"))
+    left = kept(places.select("run", "k", "n", F.explode(F.sequence("i", "j")).alias("i")), "lines-open") if many.take(1) else None
+    step = 0
+    while left is not None:
+        open_ = kept(left.join(gone, ["k", "i"], "left_anti").select("run", F.col("k").alias("b"), "n").distinct(), "lines-open")
+        top = open_.agg(F.max("n")).first()[0]
+        if top is None:
+            break
+        step += 2
+        least = F.floor(F.log2("n")).cast("int") - 2 - step
+        pairs = open_.join(holders, "run").where((F.col("a") < F.col("b")) & (F.col("zeros") >= least)).select("a", "b").distinct()
+        pairs = kept(pairs.join(done, ["a", "b"], "left_anti"), "lines-pairs")
+        gone = kept(gone.unionByName(_aligned(pairs, heads, least_words)).distinct(), "lines-aligned")
+        done = done.unionByName(pairs)
+        if int(top).bit_length() - 3 - step <= 0:
+            break
+    return gone
 
 
 def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 16, least_words: int = 20, length_column: str | None = "n_chars") -> DataFrame:

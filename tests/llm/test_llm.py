@@ -272,6 +272,27 @@ def test_line_dedup_equals_brute_force(spark):
         assert r.text == "\n".join(out) and r._gone == len(gone[r.doc_id]) and r.n_chars == (len(r.text) if r._gone else r.n_chars)
 
 
+def all_pairs_gone(rows, least_words=20):
+    lines = {k: t.split("\n") for k, t in rows}
+    gone = defaultdict(set)
+    for a, b in combinations(sorted(lines), 2):
+        gone[b].update(line_dedup.common_blocks(lines[a], lines[b], [len(x.split()) for x in lines[b]], least_words))
+    return {k: len(v) for k, v in gone.items() if v}
+
+
+@pytest.mark.parametrize("rare", [2, 16])
+def test_line_dedup_of_frequent_lines_equals_all_pairs(spark, rare):
+    frequent = [" ".join(f"f{i}w{j}" for j in range(15)) for i in range(4)]
+    rows = [(100 * i + j, f"own {i} {j}\n{x}\nend {i} {j}") for i, x in enumerate(frequent) for j in range(20)]
+    rows += [(500, "\n".join(["a b", *frequent, "c"])), (900, "\n".join(["d", *frequent, "e f"]))]
+    r = random.Random(8)
+    pool = [" ".join(f"p{i}w{j}" for j in range(r.randint(3, 12))) for i in range(7)]
+    rows += [(1000 + i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 12)))) for i in range(90)]
+    rows += [(2000 + i, rows[-1 - i % 7][1]) for i in range(15)]
+    got = {x.doc_id: x._gone for x in line_dedup.without_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare, length_column=None).collect() if x._gone}
+    assert got[900] == 4 and got == all_pairs_gone(rows)
+
+
 def test_line_dedup_odd_rows(spark):
     assert line_dedup.without_common_lines(spark.createDataFrame(ODD, DOC)).count() == 5
 
