@@ -7,6 +7,9 @@ every earlier one of them. Runs in more documents pair each later document with
 place of the run, further holders follow, at last all of them. So the result is that of aligning all pairs. Documents with the
 same lines go but for the first, which alone is a partner of others.
 
+Where a region has no line unique in both documents, its common run with most words is aligned, and so on before and
+after it, so that passages which a document repeats are aligned too, each occurrence with one of the other document.
+
 A block is a run of aligned lines without a gap, in both documents. It goes where it holds at least ``least_words``
 words. Lines are compared as they are without their outer blanks; lines without a word are no lines: they stay, except
 between two deleted lines.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +54,54 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned equal elements of two sequences: equal ends, then elements unique in both, then what lies between them."""
+def _heaviest(a: list[int], b: list[int], words: list[int]) -> tuple[int, int, int]:
+    """Starts and length of the common run with most words, by a suffix automaton of ``a``; equal ones by place in ``b``."""
+    go: list[dict[int, int]] = [{}]
+    link, size, end, last = [-1], [0], [-1], 0
+    for p, x in enumerate(a):
+        new = len(go)
+        go.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(p)
+        v, last = last, new
+        while v >= 0 and x not in go[v]:
+            go[v][x] = new
+            v = link[v]
+        if v < 0:
+            continue
+        q = go[v][x]
+        if size[q] != size[v] + 1:
+            go.append(dict(go[q]))
+            link.append(link[q])
+            size.append(size[v] + 1)
+            end.append(end[q])
+            old, q = q, len(go) - 1
+            link[old] = q
+            while v >= 0 and go[v].get(x) == old:
+                go[v][x] = q
+                v = link[v]
+        link[new] = q
+    total = [0, *accumulate(words)]
+    best, found, v, n = 0, (0, 0, 0), 0, 0
+    for q, x in enumerate(b):
+        while v and x not in go[v]:
+            v = link[v]
+            n = size[v]
+        if x in go[v]:
+            v, n = go[v][x], n + 1
+            if total[q + 1] - total[q + 1 - n] > best:
+                best, found = total[q + 1] - total[q + 1 - n], (end[v] - n + 1, q - n + 1, n)
+    return found
+
+
+def patience(a: list[int], b: list[int], words: list[int] | None = None) -> list[tuple[int, int]]:
+    """Aligned equal elements of two sequences: equal ends, then elements unique in both, then what lies between them.
+
+    Where no element is unique in both, the common run with most ``words`` (of the elements of ``b``; one each where not
+    given) is aligned, then what lies before and after it.
+    """
+    words = words or [1] * len(b)
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -75,6 +125,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             for (p, q), (r, s) in zip([(i - 1, j - 1), *found], [*found, (m, n)], strict=True):
                 todo.append((p + 1, r, q + 1, s))
             out.extend(found)
+        elif not mine.keys().isdisjoint(seen):
+            p, q, size = _heaviest(a[i:m], b[j:n], words[j:n])
+            p, q = p + i, q + j
+            out += [(p + k, q + k) for k in range(size)]
+            todo += [(i, p, j, q), (p + size, m, q + size, n)]
     return sorted(out)
 
 
@@ -83,7 +138,7 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
     gone: list[int] = []
     block: list[int] = []
     last = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
+    for i, j in [*patience(a, b, words), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[k] for k in block) >= least_words:
                 gone += block

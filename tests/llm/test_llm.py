@@ -272,6 +272,22 @@ def test_line_dedup_equals_brute_force(spark):
         assert r.text == "\n".join(out) and r._gone == len(gone[r.doc_id]) and r.n_chars == (len(r.text) if r._gone else r.n_chars)
 
 
+def test_passages_repeated_in_a_document_are_aligned():
+    p, lines = ["p1", "p2", "p3"], lambda b: [20 if x in "p1p2p3" else 1 for x in b]
+    for a, b, gone in [(["x", *p, "y"], ["u", *p, "w", *p, "v"], [1, 2, 3]), (["x", *p, "w", *p, "y"], ["u", *p, "v"], [1, 2, 3]), (["x", *p, "w", *p, "y"], ["u", *p, "z", *p, "v"], [1, 2, 3, 5, 6, 7])]:
+        assert line_dedup.common_blocks(a, b, lines(b), 20) == gone
+    r = random.Random(6)
+    for _ in range(500):
+        a, b = ([r.randrange(4) for _ in range(r.randint(1, 14))] for _ in range(2))
+        w = [r.randint(1, 9) for _ in b]
+        i, j, n = line_dedup._heaviest(a, b, w)
+        assert a[i : i + n] == b[j : j + n]
+        assert sum(w[j : j + n]) == max((sum(w[y : y + k]) for k in range(15) for x in range(len(a) - k + 1) for y in range(len(b) - k + 1) if a[x : x + k] == b[y : y + k]), default=0)
+        found = line_dedup.patience(a, b, w)
+        assert all(a[x] == b[y] for x, y in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+        assert bool(found) == bool(set(a) & set(b))
+
+
 def all_pairs_gone(rows, least_words=20):
     lines = {k: t.split("\n") for k, t in rows}
     gone = defaultdict(set)
