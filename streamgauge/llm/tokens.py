@@ -3,8 +3,9 @@
 Both public vocabularies split a text into words before they merge bytes, and the ids of a word do not depend on its
 neighbours. So a text is cut at white space, each distinct word is encoded once by the library's model, and its ids (as
 little-endian 32-bit integers) are kept for the next time in a table of bounded size. The result equals
-``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens`` on: strings that look like special
-tokens are ordinary text. Texts with unusual white space or letters take slower paths with the same result.
+``Tokenizer.encode(text, add_special_tokens=False)`` of the file as it is: contents of added tokens (``<|endoftext|>``) are
+these tokens. Texts that hold one go to the library whole. Texts with unusual white space or letters take slower paths with the same
+result.
 """
 
 from __future__ import annotations
@@ -42,6 +43,18 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _whole(tokenizer, text: str) -> bytes:
+    return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _added(tokenizer) -> list[str]:
+    """Contents of the added tokens; both public files match them in the text before it is normalized."""
+    found = tokenizer.get_added_tokens_decoder().values()
+    if any(t.normalized for t in found):
+        raise ValueError("added tokens matched in normalized text")
+    return [t.content for t in found]
+
+
 class _Pieces(dict):
     """Ids of a piece that the model merges on its own."""
 
@@ -66,7 +79,7 @@ class ByteEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = _added(self.tokenizer)
         self.pieces, self.most, self.chunks = _Pieces(self.tokenizer.model, most * 2 // 3), most, {}
         self.line_feed = self.pieces["\n"]
 
@@ -84,6 +97,8 @@ class ByteEncoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return _whole(self.tokenizer, text)
         if any(x in text for x in _DOUBLED) or text[0] in " \n" or text[-1] in " \n" or not text.isascii() and _OTHER_SPACE.search(text):
             return b"".join([self._odd(c) for c in _CHUNK.findall(text)])
         words = text.replace("\n", " \n").split(" ")
@@ -103,27 +118,26 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = _added(self.tokenizer)
         self.pieces, self.most = _Pieces(self.tokenizer.model, most * 2 // 3), most
 
-    def _whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
     def __missing__(self, word: str) -> bytes:
         if max(word) < _PLAIN:
             plain = unicodedata.normalize("NFC", word).lower()
             ids = self.pieces[plain] if plain.isalpha() else b"".join([self.pieces[x] for x in _WORD_PIECE.findall(plain)])
         else:
-            ids = self._whole(word)
+            ids = _whole(self.tokenizer, word)
         if len(self) >= self.most:
             self.clear()
         self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return _whole(self.tokenizer, text)
         if not text.isascii() or any(c in text for c in _CONTROLS):
             if any(c in text for c in _CONTROLS) or "\u180e" in text:
-                return self._whole(text)
+                return _whole(self.tokenizer, text)
         return b"".join([self[w] for w in text.split()])
 
 

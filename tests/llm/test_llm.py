@@ -40,6 +40,28 @@ def test_encoders_equal_the_library(kind, name):
         assert e.encode(x) == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), ascii(x)
 
 
+@pytest.mark.parametrize("kind,name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_added_tokens_as_in_a_fresh_tokenizer(kind, name):
+    from tokenizers import Tokenizer
+
+    e, fresh, rng = tokens.encoder(kind, tokens.public(name)), Tokenizer.from_file(tokens.public(name)), random.Random(9)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "a", " ", "\n", "  ", "\u0130", "\u00a0", "don't", "\x1c", "12"]
+    odd = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>", " <|endoftext|>  <|endoftext|>\n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    for x in odd:
+        assert e.encode(x) == np.array(fresh.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), ascii(x)
+
+
+def test_token_store_and_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    d = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c <|startoftext|> d")], "doc_id long, text string")
+    ids = {n: [len(Tokenizer.from_file(tokens.public(n)).encode(x, add_special_tokens=False).ids) + 1 for x in ("a <|endoftext|> b", "c <|startoftext|> d")] for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    got = {r.key: (r.start, r.n_tokens) for r in token_store.read_back(spark, token_store.write(d)).collect()}
+    first, second = ids["byte_bpe_50k.json"]
+    assert got == {1: (0, first), 2: (first, second)}
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(d).collect()} == {1: ids["word_bpe_49k.json"][0], 2: ids["word_bpe_49k.json"][1]}
+
+
 def test_token_store_round_trip(spark):
     d = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(ODD, DOC).select("doc_id", "text").where("doc_id is null"))
     m = token_store.write(d)
