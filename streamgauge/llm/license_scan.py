@@ -4,12 +4,18 @@ Texts are brought to a canonical form: lower case, copyright lines dropped, equi
 white space reduced to single blanks. The SHA-256 of the whole canonical text is joined with the digests of known
 licences, brought to the same form. DataFrame operations only, so that licences and documents take one path.
 
+The known licences are the short texts here and the files of ``licenses`` (the name up to a ``~`` is the licence; several
+files are forms of one text), each with and without its usual title lines. A text with words before or after a licence isn't
+one. Lines that start with "copyright" are dropped, so a licence wrapped unlike the known forms may be missed.
+
 Null or empty texts, and texts that are empty in canonical form, have a null digest and no licence. Repeated rows are
 told each. Of several known licences with one canonical form the least name is given.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +45,16 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
 
+#: Usual title lines above licences whose texts have none (fixed values).
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "CC-BY-SA-4.0": ("Attribution-ShareAlike 4.0 International",),
+}
+
 #: The steps of the canonical form: pattern, replacement. They read alike in Java's and RE2's pattern languages.
 STEPS = (
     ("(^|\n)[ \t]*(//|#|\\*)*[ \t]*(copyright|\\(c\\)|©)[^\n]*", "$1"),
@@ -62,6 +78,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Name and text of every known form of a licence."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    texts = [*KNOWN.items(), *((f.stem.split("~")[0], f.read_text("utf-8")) for f in files)]
+    return texts + [(name, f"{title}\n\n{body}") for name, body in texts for title in TITLES.get(name, ())]
+
+
 def known_digests(known: DataFrame) -> DataFrame:
     """known: license, text. One row a digest."""
     return known.select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
@@ -70,13 +93,13 @@ def known_digests(known: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``docs`` with license_sha256 (of the canonical text) and license (null where unknown)."""
     spark = docs.sparkSession
-    known = known if known is not None else spark.createDataFrame(list(KNOWN.items()), "license string, text string")
+    known = known if known is not None else spark.createDataFrame(known_texts(), "license string, text string")
     own = known_digests(known).withColumnRenamed("digest", "_d")
     return docs.withColumn("license_sha256", digest(F.col(text))).join(own, F.col("license_sha256") == F.col("_d"), "left").drop("_d")
 
 
 def sql(table: str = "documents") -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, with the short texts of ``KNOWN`` only."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     def form(c: str) -> str:
         t = f"lower({c})"

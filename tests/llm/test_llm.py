@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -341,6 +342,19 @@ def test_license(spark):
     assert {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: "MIT", 2: None, 3: None, 4: "Apache-2.0-short"}
 
 
+def test_license_of_whole_files(spark):
+    mit = "Copyright (c) 2020 X\n\n" + license_scan.KNOWN["MIT"]
+    bsd = (Path(license_scan.__file__).parent / "licenses" / "BSD-3-Clause.txt").read_text()
+    common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [("MIT License\n\n" + mit, "MIT"), ("The MIT License (MIT)\n" + mit, "MIT"), (f"BSD 3-Clause License\n\nCopyright (c) 2001, Y\nAll rights reserved.\n\n{bsd}", "BSD-3-Clause"), (bsd.replace("\n", " "), "BSD-3-Clause"), ("some words and " + bsd, None)]
+    texts += [(Path("/usr/share/common-licenses", f).read_text(), name) for f, name in common.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(texts)}
+    kinds = {n for n, _ in license_scan.known_texts()}
+    assert {"BSD-2-Clause", "Unlicense", "LGPL-2.0", "MPL-1.1", "GFDL-1.3"} <= kinds
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d, kept = docs(spark), None
