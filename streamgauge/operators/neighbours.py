@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,31 @@ from pyspark.sql import functions as F
 def nearest(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most_queries: int = 20_000) -> DataFrame:
     """q, n, d: the k nearest other rows of each query by Euclidean distance, equal ones by key.
 
-    The query set is bounded and checked; each block of rows gives its k best to each query, and these are merged.
+    Queries are asked in blocks of ``most_queries``; each block of rows gives its k best to each query, and these are
+    merged. Where there are several blocks, each one's result is kept on the executors before the next is asked.
     """
     spark = points.sparkSession
-    asked = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in parts")
+    rest = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).toLocalIterator()
+    asked = list(islice(rest, most_queries))
     if not asked:
         return spark.createDataFrame([], "q long, n long, d double")
+    after = list(islice(rest, most_queries))
+    if not after:
+        return _nearest(points, asked, key, vector, k)
+    found = _nearest(points, asked, key, vector, k).localCheckpoint()
+    while after:
+        found, after = found.unionByName(_nearest(points, after, key, vector, k).localCheckpoint()), list(islice(rest, most_queries))
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("_rn", F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))).where(F.col("_rn") <= k).drop("_rn")
+
+
+def _nearest(points: DataFrame, asked: list, key: str, vector: str, k: int) -> DataFrame:
+    """The k nearest of one block of queries."""
     ids = np.array([r[0] for r in asked], np.int64)
-    shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in asked], np.float64)))
+    shared = points.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in asked], np.float64)))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
@@ -40,7 +56,7 @@ def nearest(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256], best.shape[1])[good]), pa.array(own[best].ravel()[good]), pa.array(dist[good])], names=["q", "n", "d"])
 
     found = points.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(block, "q long, n long, d double")
-    return found.withColumn("_rn", F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))).where(F.col("_rn") <= k).drop("_rn")
+    return _best(found, k)
 
 
 def smote(points: DataFrame, key: str, vector: str, y: str, wanted: int, k: int = 5, seed: int = 42) -> DataFrame:

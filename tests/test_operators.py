@@ -145,6 +145,15 @@ def test_neighbours(spark):
     assert neighbours.edited(df, "k", "v", "y").count() < 20
 
 
+def test_neighbours_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(25)], "k long, v array<double>")
+    vectors = {r.k: r.v for r in df.collect()}
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(vectors[a], vectors[b])) ** 0.5
+    want = {(a, n) for a in vectors for n in sorted((b for b in vectors if b != a), key=lambda b: (far(a, b), b))[:3]}
+    for most in (4, 24, 25):
+        assert {(r.q, r.n) for r in neighbours.nearest(df, df, "k", "v", 3, most_queries=most).collect()} == want
+
+
 def test_contracts():
     c = Contract("x", (ColumnSpec("id", "int", Role.ROW_ID), ColumnSpec("y", "int", Role.TARGET)), (Family(r"v\d+", "float", Role.INPUT),), row_id="id", target="y")
     found, unexpected = c.resolve(["id", "v1", "odd"])
