@@ -11,7 +11,9 @@ result.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -27,6 +29,11 @@ _WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Below this, Python's and the library's lower case and character classes agree.
 _PLAIN = "\u0130"
+#: Punctuation that ends many words.
+_ENDS = frozenset(".,;:!?")
+#: Longer words are encoded each time, so that the table is bounded in bytes too.
+_LONGEST = 48
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,7 +47,7 @@ _LETTERS = _byte_letters()
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
 
 
 def _whole(tokenizer, text: str) -> bytes:
@@ -55,44 +62,65 @@ def _added(tokenizer) -> list[str]:
     return [t.content for t in found]
 
 
-class _Pieces(dict):
+class _Table(dict):
+    """Ids by string, of at most ``most`` strings of at most ``_LONGEST`` characters; emptied when full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= _LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class _Pieces(_Table):
     """Ids of a piece that the model merges on its own."""
 
     def __init__(self, model, most: int):
-        super().__init__()
-        self.model, self.most = model, most
+        super().__init__(most)
+        self.tokenize = model.tokenize
+
+    def ids(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isalpha()):
+            piece = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
+        return _packed([t.id for t in self.tokenize(piece)])
 
     def __missing__(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() and piece.isalpha() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
-        ids = _packed([t.id for t in self.model.tokenize(shown)])
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids
-        return ids
+        return self.keep(piece, self.ids(piece))
 
 
-class ByteEncoder(dict):
+class ByteEncoder(_Table):
     """Byte-level vocabulary. Keys: a word with a blank before it (kept without the blank), or a line feed and a word."""
 
     def __init__(self, path: str, most: int = 600_000):
-        super().__init__()
+        super().__init__(most)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = _added(self.tokenizer)
-        self.pieces, self.most, self.chunks = _Pieces(self.tokenizer.model, most * 2 // 3), most, {}
+        self.pieces = _Pieces(self.tokenizer.model, most // 4)
         self.line_feed = self.pieces["\n"]
 
     def _of(self, chunk: str) -> bytes:
         p = self.pieces
-        return p[chunk] if chunk.isalpha() else b"".join([p[x] for x in _BYTE_PIECE.findall(chunk)])
+        if chunk.isalpha():
+            return p.ids(chunk)
+        return b"".join([p[x] for x in _BYTE_PIECE.findall(chunk)])
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.line_feed + self._of(key[1:]) if key[0] == "\n" else self._of(" " + key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = ids
-        return ids
+        if key.isalpha():
+            ids = self.pieces.ids(" " + key)
+        elif key[:1] == "\n":
+            ids = self.line_feed + self._of(key[1:])
+        elif key[-1:] in _ENDS and key[:-1].isalpha():
+            ids = self[key[:-1]] + self.pieces[key[-1]]
+        else:
+            ids = self._of(" " + key)
+        return self.keep(key, ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -102,7 +130,7 @@ class ByteEncoder(dict):
         if any(x in text for x in _DOUBLED) or text[0] in " \n" or text[-1] in " \n" or not text.isascii() and _OTHER_SPACE.search(text):
             return b"".join([self._odd(c) for c in _CHUNK.findall(text)])
         words = text.replace("\n", " \n").split(" ")
-        return self["\n" + words[0]][len(self.line_feed) :] + b"".join([self[w] for w in words[1:]])
+        return self._of(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
     def _odd(self, chunk: str) -> bytes:
         if chunk[0] == " " and len(chunk) > 1 and not chunk.isspace():
@@ -110,35 +138,33 @@ class ByteEncoder(dict):
         return b"".join([self.pieces[x] for x in _BYTE_PIECE.findall(chunk)])
 
 
-class WordEncoder(dict):
+class WordEncoder(_Table):
     """Vocabulary with word ends, lower case, white space dropped. Keys: words between white space."""
 
     def __init__(self, path: str, most: int = 600_000):
-        super().__init__()
+        super().__init__(most)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = _added(self.tokenizer)
-        self.pieces, self.most = _Pieces(self.tokenizer.model, most * 2 // 3), most
+        self.pieces = _Pieces(self.tokenizer.model, most // 4)
 
     def __missing__(self, word: str) -> bytes:
-        if max(word) < _PLAIN:
-            plain = unicodedata.normalize("NFC", word).lower()
-            ids = self.pieces[plain] if plain.isalpha() else b"".join([self.pieces[x] for x in _WORD_PIECE.findall(plain)])
+        if word[-1] in _ENDS and word[:-1].isalpha():
+            ids = self[word[:-1]] + self.pieces[word[-1]]
+        elif word.isascii() or max(word) < _PLAIN:
+            plain = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+            ids = self.pieces.ids(plain) if plain.isalpha() else b"".join([self.pieces[x] for x in _WORD_PIECE.findall(plain)])
         else:
             ids = _whole(self.tokenizer, word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
-        return ids
+        return self.keep(word, ids)
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.added):
             return _whole(self.tokenizer, text)
-        if not text.isascii() or any(c in text for c in _CONTROLS):
-            if any(c in text for c in _CONTROLS) or "\u180e" in text:
-                return _whole(self.tokenizer, text)
-        return b"".join([self[w] for w in text.split()])
+        if any(c in text for c in _CONTROLS) or not text.isascii() and "\u180e" in text:
+            return _whole(self.tokenizer, text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _OPEN: dict[tuple[str, str], dict] = {}
