@@ -1,24 +1,20 @@
 """Vectorised word and shingle hashes over UTF-8 bytes (numpy, no per-word Python objects).
 
-A word hash is a polynomial over per-byte random constants modulo 2**64, taken for all words of a block at once from
-prefix sums; a shingle hash mixes the hashes of its words. Equal words always get equal hashes; different ones collide
-with probability about 2**-64 a pair.
+A word hash is a sum, modulo 2**64, of a pseudo-random number for each byte and its place in the word, taken for all words
+of a block at once from prefix sums; a shingle hash mixes the hashes of its words. Equal words always get equal hashes;
+different ones collide with probability about 2**-64 a pair. Numbers depend on the place, so that no pattern of repeated
+letters cancels as in a polynomial modulo 2**64.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+_PLACES = 64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CONST = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -28,15 +24,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b), dtype=np.uint64)]) for b in (_BASE, _INVERSE)]
-        if size > 1 << 22:
-            return made[0], made[1]
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+def _at(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The number of a byte at a place of a word."""
+    with np.errstate(over="ignore"):
+        return mix(mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + byte.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+
+
+#: The numbers of the first places, by place and byte; A-Z as a-z.
+_NEAR = _at(np.repeat(np.arange(_PLACES), 256), np.tile(_LOWER, _PLACES))
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +47,18 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     start, end = words(data)
     if not len(start):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
+    size = end - start
+    total = np.zeros(int(size.sum()) + 1, np.uint64)
+    last = np.cumsum(size)
+    place = np.arange(len(total) - 1) - np.repeat(last - size, size)
+    byte = data[place + np.repeat(start, size)]
+    number = _NEAR[np.minimum(place, _PLACES - 1) * 256 + byte]
+    if int(size.max()) > _PLACES:
+        far = np.flatnonzero(place >= _PLACES)
+        number[far] = _at(place[far], _LOWER[byte[far]])
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CONST[_LOWER[data]] * power[: len(data)], out=total[1:])
-        value = (total[end] - total[start]) * inverse[start]
-        return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        np.cumsum(number, out=total[1:])
+        return mix(total[last] - total[last - size] + size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
