@@ -13,7 +13,9 @@ window borders; the rest of that stream becomes sequences of a power of two ids
 Documents find their place by arithmetic: a remainder's rank among those of its length, from counts by partition, gives
 its window. No row order, no global sort and no list of documents is held anywhere.
 
-Null text is empty: the end id alone. Repeated rows and null keys are packed like others. An empty table gives no rows.
+Null text is empty: the end id alone. Repeated rows and null keys are packed like others, and so are very long texts, whose
+full windows are told by number. An empty table gives no rows. Only the key and the text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -166,7 +168,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     plan, whole_windows = Plan(histogram, window, slack), at
     earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "rest", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("earlier"))
-    ranked = made.drop("ids").join(offsets, ["part", "rest"]).withColumn("rank", F.col("rank") + F.col("earlier")).drop("earlier")
+    # by sorting: the table of offsets grows with the number of partitions, so it is not broadcast
+    ranked = made.drop("ids").join(offsets.hint("merge"), ["part", "rest"]).withColumn("rank", F.col("rank") + F.col("earlier")).drop("earlier")
     shared = spark.sparkContext.broadcast((plan, before))  # bounded: a few entries a length, one a partition
     out_type = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, row_no long, rest int, rank long"
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "row_no", "rest", "rank"]
