@@ -7,8 +7,10 @@ through their concurrent-to identifiers into one nested row a capture.
 
 Of captures with equal payloads of at least ``least_bytes`` bytes, that of the largest key is the response and the others
 revisit it. Rows with a null key are responses and never revisited. Of rows that repeat both the largest key and the
-payload, all are responses; record ids hold a random part, so that rows that repeat a key stay captures of their own. A
-null payload is empty, a null url gives an empty target, an empty table no archives and no rows.
+payload, all are responses, and revisits refer to one of them; the other record ids hold a random part, so that rows that
+repeat a key stay captures of their own. A null payload is empty, a null url gives an empty target, an empty table no
+archives and no rows. Payloads are written and read whole, one at a time. Only the key, the url and the payload are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ def _digest(hexadecimal: str) -> str:
     return "sha1:" + hexadecimal
 
 
-def response_id(key: int | None, sole: bool) -> str:
-    """Id of a response or revisit record: fixed for the one response that others revisit, else with a random part."""
-    return f"<urn:capture:{'' if key is None else key}:{'response' if sole else uuid.uuid4()}>"
+def response_id(key: int | None, chosen: str | None = None) -> str:
+    """Id of a response or revisit record: ``chosen`` (a digest) for the one response that others revisit, else a random part."""
+    return f"<urn:capture:{'' if key is None else key}:{chosen or uuid.uuid4()}>"
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 1000) -> list[str]:
@@ -60,6 +62,14 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     first = large.groupBy("digest").agg(F.max(F.struct("key", "n")).alias("top"), F.sum("n").alias("all")).where("all > 1").select("digest", F.col("top.key").alias("holder"), (F.col("top.n") == 1).alias("sole"))
     marks = kept(large.join(first, "digest").select(F.col("key").alias("of"), "holder", "sole", F.col("digest").alias("same")), "warc-revisits")
     rows = rows.join(marks, (F.col("key") == F.col("of")) & (F.col("digest") == F.col("same")), "left").drop("of", "same")
+    rows = rows.withColumn("chosen", (F.col("holder") == F.col("key")) & F.col("sole"))
+    if marks.where("of = holder and not sole").take(1):
+        # the largest key repeats: its rows are stored with a mark each, and the row of the least mark is the one to refer to
+        many = (F.col("holder") == F.col("key")) & ~F.col("sole")
+        again = kept(rows.where(many).withColumn("mark", F.expr("uuid()")), "warc-repeated")
+        least = again.groupBy(F.col("digest").alias("_d"), F.col("key").alias("_k")).agg(F.min("mark").alias("_least"))
+        again = again.join(least, (F.col("digest") == F.col("_d")) & (F.col("key") == F.col("_k"))).withColumn("chosen", F.col("mark") == F.col("_least"))
+        rows = rows.where(~F.coalesce(many, F.lit(False))).unionByName(again.drop("mark", "_d", "_k", "_least"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out = files.own_name(folder, "archive") + ".warc.gz", None
@@ -68,11 +78,11 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
                 out = files.open_write(name)
             for r in batch.to_pylist():
                 revisit = r["holder"] is not None and r["holder"] != r["key"]
-                rid, target = response_id(r["key"], bool(r["holder"] is not None and r["sole"] and not revisit)), r["url"].replace("\r", "%0D").replace("\n", "%0A")
+                rid, target = response_id(r["key"], r["digest"] if r["chosen"] else None), r["url"].replace("\r", "%0D").replace("\n", "%0A")
                 common = [("WARC-Target-URI", target)] + ([(_KEY, str(r["key"]))] if r["key"] is not None else [])
                 stated = [("WARC-Payload-Digest", _digest(r["digest"]))]
                 if revisit:
-                    headers = [("WARC-Record-ID", rid), *common, *stated, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", response_id(r["holder"], True)), ("Content-Type", "application/http; msgtype=response")]
+                    headers = [("WARC-Record-ID", rid), *common, *stated, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", response_id(r["holder"], r["digest"])), ("Content-Type", "application/http; msgtype=response")]
                     main = _record("revisit", headers, b"HTTP/1.1 200 OK\r\n\r\n")
                 else:
                     main = _record("response", [("WARC-Record-ID", rid), *common, *stated, ("Content-Type", "application/http; msgtype=response")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + r["body"])
@@ -87,19 +97,25 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     return sorted(r.name for r in rows.mapInArrow(archive, "name string").collect())  # a row a file
 
 
-def members(stream: io.RawIOBase, step: int = 1 << 20) -> Iterator[bytes]:
-    """Contents of the gzip members of a stream, one after another."""
-    data = b""
+def members(stream: io.RawIOBase, step: int = 1 << 20, slice_: int = 1 << 14) -> Iterator[bytes]:
+    """Contents of the gzip members of a stream, one after another.
+
+    The stream is read in steps and fed to the decoder in slices, so that what a member leaves over, and is copied, is less
+    than a slice.
+    """
+    data, at = memoryview(b""), 0
     while True:
         engine, out = zlib.decompressobj(31), []
         while not engine.eof:
-            data = data or stream.read(step)
-            if not data:
-                if out:
-                    raise ValueError("the archive ends within a record")
-                return
-            out.append(engine.decompress(data))
-            data = engine.unused_data
+            if at == len(data):
+                data, at = memoryview(stream.read(step)), 0
+                if not len(data):
+                    if out:
+                        raise ValueError("the archive ends within a record")
+                    return
+            part = data[at : at + slice_]
+            out.append(engine.decompress(part))
+            at += len(part) - len(engine.unused_data)
         yield b"".join(out)
 
 
