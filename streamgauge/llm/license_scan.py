@@ -6,14 +6,18 @@ licences, brought to the same form. DataFrame operations only, so that licences
 
 The known licences are the short texts here and the files of ``licenses`` (the name up to a ``~`` is the licence; several
 files are forms of one text), each with and without its usual title lines. A text with words before or after a licence isn't
-one. Lines that start with "copyright" are dropped, so a licence wrapped unlike the known forms may be missed.
+one. Lines that start with "copyright" are dropped, but for those that go on with a word of running text (holders, notice,
+law and so on), which begin so only by their wrapping.
 
 Null or empty texts, and texts that are empty in canonical form, have a null digest and no licence. Repeated rows are
-told each. Of several known licences with one canonical form the least name is given.
+told each; an empty table gives no rows; very long texts are taken whole. Of several known licences with one canonical form
+the least name is given. Columns of the input named license or license_sha256 are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +61,7 @@ TITLES = {
 
 #: The steps of the canonical form: pattern, replacement. They read alike in Java's and RE2's pattern languages.
 STEPS = (
+    ("(^|\n)([ \t]*(//|#|\\*)*[ \t]*)copyright([ \t]+(holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|and|or|in|is|to|as|of)([^a-z]|$))", "$1$2_copyright$4"),
     ("(^|\n)[ \t]*(//|#|\\*)*[ \t]*(copyright|\\(c\\)|©)[^\n]*", "$1"),
     ("all rights reserved", " "),
     ("[^a-z0-9\u0080-\U0010ffff]+", " "),
@@ -94,13 +99,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") ->
     """``docs`` with license_sha256 (of the canonical text) and license (null where unknown)."""
     spark = docs.sparkSession
     known = known if known is not None else spark.createDataFrame(known_texts(), "license string, text string")
-    own = known_digests(known).withColumnRenamed("digest", "_d")
-    return docs.withColumn("license_sha256", digest(F.col(text))).join(own, F.col("license_sha256") == F.col("_d"), "left").drop("_d")
+    own = known_digests(known).select(F.col("digest").alias("_license_digest"), F.col("license").alias("_license_name"))
+    made = docs.withColumn("_license_own", digest(F.col(text))).drop(*[c for c in ("license", "license_sha256") if c != text])
+    joined = made.join(own, F.col("_license_own") == F.col("_license_digest"), "left").drop("_license_digest")
+    return joined.withColumnsRenamed({"_license_own": "license_sha256", "_license_name": "license"})
 
 
 def sql(table: str = "documents") -> str:
-    """The same in DuckDB's SQL, with the short texts of ``KNOWN`` only."""
+    """The same in DuckDB's SQL. Digests of the known texts are made here, in plain Python, and stand in it as values."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+
     def form(c: str) -> str:
         t = f"lower({c})"
         for pattern, by in STEPS:
@@ -108,8 +116,20 @@ def sql(table: str = "documents") -> str:
         for a, b in SPELLINGS:
             t = f"replace({t}, {quote(a)}, {quote(b)})"
         return f"nullif(trim({t}), '')"
-    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
-    return f"""with known(name, body) as (values {rows}),
-        k as (select sha256({form('body')}) as digest, min(name) as license from known group by 1),
+
+    def plain(t: str) -> str:
+        t = t.lower()
+        for pattern, by in STEPS:
+            t = re.sub(pattern, lambda m, by=by: re.sub(r"\$(\d)", lambda g: m[int(g[1])] or "", by), t)
+        for a, b in SPELLINGS:
+            t = t.replace(a, b)
+        return t.strip()
+
+    found: dict[str, str] = {}
+    for name, t in known_texts():
+        d = hashlib.sha256(plain(t).encode()).hexdigest()
+        found[d] = min(found.get(d, name), name)
+    rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in sorted(found.items()))
+    return f"""with k(digest, license) as (values {rows}),
         d as (select doc_id, sha256({form('text')}) as license_sha256 from {table})
         select d.doc_id, d.license_sha256, k.license from d left join k on d.license_sha256 = k.digest"""
