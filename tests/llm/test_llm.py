@@ -186,6 +186,18 @@ def test_set_join_equals_brute_force(spark):
     assert setjoin.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_word_hashes_tell_words_apart():
+    from streamgauge.llm.wordhash import word_hashes
+
+    of = lambda *w: word_hashes(np.frombuffer(b" ".join(w), np.uint8)).tolist()
+    for k in (1024, 4096):
+        a = bytes(97 + bin(i).count("1") % 2 for i in range(k))
+        assert len(set(of(a, bytes(195 - x for x in a)))) == 2
+    assert of(b"Ab", b"x" * 100, b"Y" * 64, b"ab", b"X" * 100) == [*of(b"ab"), *of(b"x" * 100), *of(b"y" * 64), *of(b"aB"), *of(b"x" * 100)]
+    words = {b"%x" % (i * i) for i in range(50_000)}
+    assert len(set(of(*words))) == len(words)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
@@ -212,6 +224,25 @@ def test_quality_counts_equal_brute_force(spark):
         assert q.base_failed == (q.n_words < 50 or 100 * q.n_repeat_words > 50 * q.n_words) and not (q.base_failed and q.kept)
 
 
+def test_quality_order_changes_no_verdict(spark):
+    d = docs(spark).select("doc_id", "text")
+    kept_ = {r.doc_id for r in quality.judged(d).where("kept").select("doc_id").collect()}
+    brute = set()
+    for r in d.collect():
+        n, chars, symbols, same, again = brute_counts(r.text)
+        lines = sum(1 for x in r.text.split("\n") if WORD.search(x))
+        letters, capitals = len(re.findall("[A-Za-z]", r.text)), len(re.findall("[A-Z]", r.text))
+        runs = len(re.findall(r"[^\W\d_]+", r.text))
+        bad = n < 50 or 100 * again > 50 * n or chars < 2 * n or chars > 20 * n or 5 * symbols > n or lines >= 6 and 2 * same > lines or 2 * capitals > letters or 5 * len(re.findall("!+", r.text)) > n or 2 * runs < n
+        brute |= set() if bad else {r.doc_id}
+    assert kept_ == brute
+    odd = spark.createDataFrame([(1, None, 7), (2, "", 8), (3, "a b " * 40, 9)], "doc_id long, text string, n_words long")
+    assert {r.doc_id for r in quality.passing(d).collect()} == brute and quality.passing(odd, least_words=1).count() == 0 and quality.passing(d.limit(0)).count() == 0
+    assert quality.passing(odd.where("doc_id = 1"), rules=(quality.RULES[0],), least_words=0).collect() == [(1, None, 7)]
+    order = [r.name for r, _, _ in quality.ordered(d, (*quality.base(), *quality.RULES))]
+    assert sorted(order) == sorted(r.name for r in (*quality.base(), *quality.RULES)) and order.index("few_words") < order.index("repeats")
+
+
 def test_quality_keeps_good_documents(spark):
     good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").join(docs(spark), "doc_id").where(F.size(F.split("text", r"\s+")) >= 60)
     assert quality.passing(good.select("doc_id", "text")).count() == good.count()
@@ -243,7 +274,7 @@ def brute_spans(t):
 
 def test_pii_base_and_context(spark):
     q = random.Random(4)
-    bits = ["a", "1", "22", "300", "@", ".", "+", "-", " ", "(", ")", "\u00e9", "\U0001f642", "4111111111111111", "b@c.de", "_"]
+    bits = ["a", "0", "1", "22", "00", "300", "10.0.0.1", "@", ".", "+", "-", " ", "(", ")", "\u00e9", "\U0001f642", "4111111111111111", "b@c.de", "_"]
     rows = [(i, "".join(q.choice(bits) for _ in range(q.randint(0, 60)))) for i in range(600)] + [(-1, ""), (-2, None), (-3, "a1@b.c " * 700)]
     text = dict(rows)
     for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
@@ -252,13 +283,40 @@ def test_pii_base_and_context(spark):
     assert [(r.doc_id, r.spans) for r in pii.spans(spark.createDataFrame(cue, "doc_id long, text string")).where("n_added > 0").collect()] == [(20, "email:27:40")]
 
 
+def test_pii_base_of_zero_parts(spark):
+    rows = [(i, t) for i, t in enumerate(["at 10.0.0.1 now", "127.0.0.1", "0.1.2.3", "000.00.0.0256", "8.8.8.8", "1.2.3.256"])]
+    assert [r.n_ip for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 1, 1, 0, 1, 0]
+
+
+def test_pii_patterns_find_what_base_patterns_miss(spark):
+    luhn = lambda d: sum(v - 9 if v > 9 else v for v in (int(c) * (1 + j % 2) for j, c in enumerate(reversed(d)))) % 10 == 0
+    good = [n for n in map(str, range(4111111111111111, 4111111111111400)) if luhn(n)][:8]
+    rows = [(i, f"w{i} seen {n} x{i}") for i, n in enumerate(good)] + [(20, "one 9807915762804490 two"), (21, "order#9807915762804491 two"), (22, "1234567890123456789012 six")]
+    rows += [(30 + i, f'set token = "{hashlib.sha1(bytes([i])).hexdigest()}" here') for i in range(6)] + [(40, 'a token = "letmein-2024-please" b'), (41, f"git {hashlib.sha1(b'x').hexdigest()} fixed")]
+    rows += [(50 + i, f'v{i} token = "123456789012345678901{i}" b') for i in range(1)]
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == "card:4:20" and got[21] == "" and got[22] == "" and got[41] == "" and got[50] == ""
+    assert got[30] == "secret:13:53" and got[40] == "secret:11:30"
+    off = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string"), least_seeds=100).collect()}
+    assert off[20] == off[30] == off[40] == "" and off[0] == got[0]
+
+
+def test_pii_of_planted_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shapes = r"[0-9]{16}|token = |@mail|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\+1 \("
+    found = pii.spans(d).join(d.select("doc_id", F.col("text").rlike(shapes).alias("planted")), "doc_id")
+    r = found.agg(F.count_if("planted").alias("p"), F.count_if(F.col("planted") & (F.col("n_spans") > 0)).alias("hit"), F.count_if(~F.col("planted") & (F.col("n_spans") > 0)).alias("wrong")).first()
+    assert r.hit >= 0.95 * r.p and r.wrong <= 0.01 * (found.count() - r.p)
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500
     rows = [(1, "http://a/", big), (2, None, big), (3, "http://c/", "small"), (4, "http://d/", "small"), (None, "http://e/", big), (5, "http://f/", None), (2, None, big), (7, "http://g/", "y" * 1000)]
     out = warc.assemble(warc.read(spark, warc.write(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
     assert len(out) == len(rows) and all(r.request.record_type == "request" and r.metadata.record_type == "metadata" for r in out)
-    kinds = sorted((str(r.response.capture_key), r.response.record_type, r.response.refers_to) for r in out)
-    assert kinds == sorted([("1", "revisit", "<urn:capture:2:response>"), ("2", "response", None), ("2", "response", None), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("7", "response", None), ("None", "response", None)])
+    key_of = {r.response.record_id: r.response.capture_key for r in out if r.response.record_type == "response"}
+    kinds = sorted((str(r.response.capture_key), r.response.record_type, r.response.refers_to and key_of[r.response.refers_to]) for r in out)
+    assert kinds == sorted([("1", "revisit", 2), ("2", "response", None), ("2", "response", None), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("7", "response", None), ("None", "response", None)])
     for r in out:
         if r.response.record_type == "response":
             assert hashlib.sha1(r.response.content).hexdigest() == r.response.payload_digest
@@ -347,10 +405,17 @@ def test_license_of_whole_files(spark):
     bsd = (Path(license_scan.__file__).parent / "licenses" / "BSD-3-Clause.txt").read_text()
     common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     texts = [("MIT License\n\n" + mit, "MIT"), ("The MIT License (MIT)\n" + mit, "MIT"), (f"BSD 3-Clause License\n\nCopyright (c) 2001, Y\nAll rights reserved.\n\n{bsd}", "BSD-3-Clause"), (bsd.replace("\n", " "), "BSD-3-Clause"), ("some words and " + bsd, None)]
+    texts += [("Copyright 2020 Jane Doe\n" + license_scan.KNOWN["MIT"].replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS"), "MIT"), ("// (C) X\n" + license_scan.KNOWN["ISC"].replace("the above copyright notice", "the above\ncopyright notice"), "ISC")]
     texts += [(Path("/usr/share/common-licenses", f).read_text(), name) for f, name in common.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
     rows = [(i, t) for i, (t, _) in enumerate(texts)]
     got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: name for i, (_, name) in enumerate(texts)}
+    import duckdb
+
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas()  # noqa: F841
+    want = {i: (d, n) for i, d, n in duckdb.sql(license_scan.sql()).fetchall()}
+    again = license_scan.scan(spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, license string"))
+    assert {r.doc_id: (r.license_sha256, r.license) for r in again.collect()} == want and again.columns == ["doc_id", "text", "license_sha256", "license"]
     kinds = {n for n, _ in license_scan.known_texts()}
     assert {"BSD-2-Clause", "Unlicense", "LGPL-2.0", "MPL-1.1", "GFDL-1.3"} <= kinds
 
