@@ -47,8 +47,38 @@ def clock(t: Column, period: float, prefix: str, bins: int = 24, anchor: float =
     return {f"{prefix}_sin": F.sin(2 * math.pi * phase).cast("float"), f"{prefix}_cos": F.cos(2 * math.pi * phase).cast("float"), f"{prefix}_bin": F.floor(phase * bins).cast("short")}
 
 
+def micros_between(a: Column, b: Column) -> Column:
+    """Microseconds from a to b, of naive timestamps whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", a.cast("timestamp_ntz"), b.cast("timestamp_ntz"))
+
+
 def age_years(birth: Column, at: Column) -> Column:
-    return F.floor((F.unix_micros(at.cast("timestamp")) - F.unix_micros(birth.cast("timestamp"))) / 86_400_000_000) / 365.25
+    return F.floor(micros_between(birth, at) / 86_400_000_000) / 365.25
+
+
+def time_of_day_differs(unix_s: Column, ts: Column, most_s: float = 1.0) -> Column:
+    """Whether an epoch and a naive timestamp are more than ``most_s`` apart in the time of day."""
+    own = micros_between(F.date_trunc("day", ts).cast("timestamp_ntz"), ts) / 1e6
+    return F.abs(F.pmod(unix_s.cast("double"), F.lit(86400.0)) - own) > most_s
+
+
+def places_as_text(c: Column) -> Column:
+    """Digits after the point of a number written in full; 0 for whole numbers. Null stays null."""
+    text = F.regexp_replace(F.format_string("%.9f", c.cast("double")), "0+$", "")
+    return F.when(c.isNotNull(), F.length(F.substring_index(text, ".", -1)))
+
+
+def prefix_rate(c: Column, prefix: str) -> Column:
+    """Aggregate: the share of texts that begin with a prefix. Nulls don't."""
+    return F.avg(F.coalesce(c.startswith(prefix), F.lit(False)).cast("double"))
+
+
+def any_present(columns: list[str]) -> Column:
+    """1 where any of the columns has a value, else 0."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.col(c).isNotNull()
+    return out.cast("byte")
 
 
 def logit(p: Column, eps: float = 1e-7) -> Column:

@@ -14,23 +14,44 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import relational
 from ..operators.history import haversine_km
+from ..operators.ranking import ranked
 from ..operators.relational import lookup
-from ..sources.contracts import FEATURE_ROLES, Contract
+from ..sources.contracts import Declared
+from ..sources.scratch import fresh, kept
 from . import scalars
 
 MISSING, UNSEEN, RARE = "<NA>", "<UNK>", "<RARE>"
 REGISTRY: dict[str, type[Step]] = {}
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> dict[str, list[tuple[str, int]]]:
-    """Values of several columns with counts, most frequent first, equal counts by value: one unpivot and one aggregation."""
+def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """c, v, n: values of several columns with counts, by one unpivot and one aggregation."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    return long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_counts(df: DataFrame, columns: list[str], most: int | None = None) -> dict[str, list[tuple[str, int]] | str]:
+    """Values with counts, most frequent first, equal counts by value.
+
+    A column of more than ``most`` values (``MOST_LITERALS``) gives the place of a stored table instead: v, n, rank, share.
+    """
     if not columns:
         return {}
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
-    for r in long.groupBy("c", "v").count().orderBy("c", F.desc("count"), "v").collect():  # dictionaries, a row a category
-        out[r.c].append((r.v, r["count"]))
+    most = relational.MOST_LITERALS if most is None else most
+    counts = kept(_counted(df, columns), "value-counts")
+    sizes = {r.c: r.k for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}  # a row a column
+    small = [c for c in columns if sizes.get(c, 0) <= most]
+    out: dict[str, list[tuple[str, int]] | str] = {c: [] for c in columns}
+    for r in counts.where(F.col("c").isin(small)).orderBy("c", F.desc("n"), "v").collect():
+        out[r.c].append((r.v, r.n))
+    for c in columns:
+        if c not in small:
+            own = ranked(counts.where(F.col("c") == c).select("v", "n"), [F.desc("n"), "v"], "rank")
+            own = own.withColumn("share", F.col("n") / own.agg(F.sum("n")).scalar())
+            out[c] = fresh(df.sparkSession, "values")
+            own.withColumn("rank", F.col("rank").cast("int")).write.parquet(out[c])
     return out
 
 
@@ -114,40 +135,69 @@ class TokenSplit(Step):
         return {self.params["output"]: scalars.token(F.col(self.params["column"]), self.params.get("pattern", r"[.\s/]"), self.params.get("index", 0))}
 
 
-class CategoricalTyper(Step):
-    """Strings: a missing value is ``<NA>``, a value not met in training ``<UNK>``."""
+class _ByValue(Step):
+    """A column for each given one, from what the training rows say about its values; large dictionaries are stored tables that are joined."""
 
     learns = True
+    entry, column, suffix, default = "", "", "", None
+
+    def of(self, values: list[tuple[str, int]]) -> dict[str, Any]:
+        raise NotImplementedError
+
+    def finish(self, c: Column, found: Column) -> Column:
+        return found
 
     def learn(self, df):
-        return {"categories": {c: [MISSING, UNSEEN, *(v for v, _ in vs)] for c, vs in value_counts(df, self.params["columns"]).items()}}
+        counts = value_counts(df, self.params["columns"], self.params.get("most"))
+        state = {self.entry: {c: self.of(v) for c, v in counts.items() if not isinstance(v, str)}}
+        tables = {c: v for c, v in counts.items() if isinstance(v, str)}
+        return state | ({"tables": tables} if tables else {})
 
     def columns(self, df):
-        return {c: F.when(F.col(c).isNull(), MISSING).otherwise(lookup(F.col(c).cast("string"), {v: v for v in known[2:]}, UNSEEN)) for c, known in self.state["categories"].items()}
+        return {c + self.suffix: self.finish(F.col(c), lookup(F.col(c).cast("string"), known, self.default)) for c, known in self.state[self.entry].items()}
+
+    def transform(self, df):
+        out = super().transform(df)
+        for c, place in self.state.get("tables", {}).items():
+            out = relational.looked_up(out, c, df.sparkSession.read.parquet(place), self.column, "_value", self.default)
+            out = out.withColumn(c + self.suffix, self.finish(F.col(c), F.col("_value"))).drop("_value")
+        return out.select(*df.columns, *[c for c in out.columns if c not in df.columns])
 
 
-class CategoricalEncoder(Step):
+class CategoricalTyper(_ByValue):
+    """Strings: a missing value is ``<NA>``, a value not met in training ``<UNK>``."""
+
+    entry, column, default = "categories", "v", UNSEEN
+
+    def of(self, values):
+        return {v: v for v, _ in values}
+
+    def finish(self, c, found):
+        return F.when(c.isNull(), MISSING).otherwise(found)
+
+
+class CategoricalEncoder(_ByValue):
     """Rank by frequency from 1; 0 for missing and unseen values."""
 
-    learns = True
+    entry, column, suffix, default = "codes", "rank", "_code", 0
 
-    def learn(self, df):
-        return {"codes": {c: {v: i + 1 for i, (v, _) in enumerate(vs)} for c, vs in value_counts(df, self.params["columns"]).items()}}
+    def of(self, values):
+        return {v: i + 1 for i, (v, _) in enumerate(values)}
 
-    def columns(self, df):
-        return {f"{c}_code": lookup(F.col(c).cast("string"), codes, 0).cast("int") for c, codes in self.state["codes"].items()}
+    def finish(self, c, found):
+        return found.cast("int")
 
 
-class FrequencyEncoder(Step):
+class FrequencyEncoder(_ByValue):
     """Share among the training rows with a value; 0 for missing and unseen values."""
 
-    learns = True
+    entry, column, suffix, default = "freq", "share", "_freq", 0.0
 
-    def learn(self, df):
-        return {"freq": {c: {v: n / sum(k for _, k in vs) for v, n in vs} for c, vs in value_counts(df, self.params["columns"]).items()}}
+    def of(self, values):
+        return {v: n / sum(k for _, k in values) for v, n in values}
 
-    def columns(self, df):
-        return {f"{c}_freq": lookup(F.col(c).cast("string"), freq, 0.0).cast("float") for c, freq in self.state["freq"].items()}
+    def finish(self, c, found):
+        return found.cast("float")
 
 
 class RowMissingCount(Step):
@@ -208,11 +258,11 @@ class FinalizeFeatures(Step):
     """The feature columns in a fixed order: derived ones and those of a role that may be a feature."""
 
     learns = True
-    contract: Contract | None = None
+    contract: Declared | None = None
 
     def learn(self, df):
-        declared, _ = self.contract.resolve(df.columns) if self.contract else ({}, [])
-        out = [c for c in df.columns if c not in self.params.get("exclude", []) and (c not in declared or declared[c].role in FEATURE_ROLES)]
+        may = self.contract.features(df.columns) if self.contract else df.columns
+        out = [c for c in may if c not in self.params.get("exclude", [])]
         return {"feature_columns": out}
 
     def transform(self, df):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked, running, steps
+
 
 def _long(pairs: list[tuple]) -> Column:
     return F.explode(F.array(*[F.struct(*[x.alias(n) for n, x in p]) for p in pairs]))
@@ -48,8 +51,8 @@ def conflicts(df: DataFrame, key: list[str], y: str) -> DataFrame:
 
 def order_profile(df: DataFrame, t: str, seq: str) -> DataFrame:
     """Least, largest and distinct order keys, and how often they fall from a row to the next."""
-    step = df.withColumn("_d", F.col(t) < F.lag(t).over(Window.orderBy(seq)))
-    return step.agg(F.min(t).alias("t_min"), F.max(t).alias("t_max"), F.count_distinct(t).alias("n_distinct"), F.count_if("_d").alias("n_falls"))
+    falls = F.count_if(F.col(t) < F.col("_previous"))
+    return steps(df.select(t, seq), [seq], t, [F.min(t).alias("t_min"), F.max(t).alias("t_max"), F.count_distinct(t).alias("n_distinct"), falls.alias("n_falls")])
 
 
 def describe(df: DataFrame, c: str, by: list[str]) -> DataFrame:
@@ -67,16 +70,19 @@ def group_size_quantiles(df: DataFrame, key: str, at: list[float]) -> DataFrame:
 def top_decile_share(df: DataFrame, entity: str, y: str) -> DataFrame:
     """Share of the positives that the tenth of entities with most of them has."""
     by = df.groupBy(entity).agg(F.sum(F.col(y).cast("long")).alias("p"))
-    ranked = by.withColumn("_rn", F.row_number().over(Window.orderBy(F.desc("p"), entity))).withColumn("_k", F.greatest(F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 10), F.lit(1)))
-    return ranked.agg((F.sum(F.when(F.col("_rn") <= F.col("_k"), F.col("p")).otherwise(0)) / F.sum("p")).alias("share"))
+    r = ranked(by, [F.desc("p"), entity], "_rn")
+    most = F.greatest(F.floor(r.agg(F.count(F.lit(1))).scalar() / 10), F.lit(1))
+    return r.agg((F.sum(F.when(F.col("_rn") <= most, F.col("p")).otherwise(0)) / F.sum("p")).alias("share"))
 
 
 def leakage_auc(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     """A row a column: how well it alone orders the labels, max(auc, 1 - auc), over its non-null rows."""
     long = df.select(_long([[("column", F.lit(c)), ("x", F.col(c).cast("double")), ("y", F.col(y).cast("long"))] for c in columns]).alias("z")).select("z.*").where("x is not null")
     by = long.groupBy("column", "x").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = by.withColumn("_w", F.col("pos") * (below + F.col("neg") / 2)).groupBy("column").agg((F.sum("_w") / (F.sum("pos") * F.sum("neg"))).alias("_a"))
+    ranked_ = running(by, ["column", "x"], {"_below": F.col("neg")}, exclusive=("_below",))
+    first = F.broadcast(ranked_.groupBy("column").agg(F.min("_below").alias("_first")))  # a row a column
+    ranked_ = ranked_.join(first, "column").withColumn("_w", F.col("pos") * (F.col("_below") - F.col("_first") + F.col("neg") / 2))
+    out = ranked_.groupBy("column").agg((F.sum("_w") / (F.sum("pos") * F.sum("neg"))).alias("_a"))
     return out.select("column", F.greatest(F.col("_a"), 1 - F.col("_a")).alias("auc"))
 
 
@@ -96,3 +102,42 @@ def findings(df: DataFrame, columns: list[str], checks: dict[str, tuple[str, Col
     wide = df.select(*columns).agg(*[F.count_if(bad).alias(code) for code, (_, bad) in checks.items()])
     rows = [wide.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col(code).alias("n")) for code, (severity, _) in checks.items()]
     return reduce(lambda a, b: a.unionByName(b), rows).where("n > 0")
+
+
+def most_distinct(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """A row a column: the largest number of distinct values that a group holds. 1 means constant within groups."""
+    by = df.groupBy(group).agg(*[F.count_distinct(c).alias(c) for c in columns])
+    wide = by.agg(*[F.max(c).alias(c) for c in columns])
+    return wide.select(_long([[("column", F.lit(c)), ("most", F.col(c))] for c in columns]).alias("x")).select("x.*")
+
+
+def coverage(df: DataFrame, by: str, flag: Column) -> DataFrame:
+    """by, n, covered, share: rows of each group for which the flag holds."""
+    out = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("covered"))
+    return out.withColumn("share", F.col("covered") / F.col("n"))
+
+
+def duplicate_report(df: DataFrame, identifiers: list[str], row_id: str, t: str | None = None) -> DataFrame:
+    """One row: n_rows, rows redundant as a whole, redundant but for the identifiers, repeated row ids; and, with ``t``, groups
+    of rows equal but for identifiers and ``t`` that hold several t. Nulls equal nulls."""
+    rest = [c for c in df.columns if c not in identifiers]
+    extra = lambda cols, name: df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias(name))
+    out = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumns({"n_exact": extra(df.columns, "a").scalar(), "n_but_ids": extra(rest, "a").scalar(), "n_row_ids": extra([row_id], "a").scalar()})
+    if t:
+        other = [c for c in rest if c != t]
+        moved = df.groupBy(*other).agg(F.count_distinct(t).alias("k")).agg(F.count_if(F.col("k") > 1).alias("a"))
+        out = out.withColumn("n_moved_groups", moved.scalar())
+    return out
+
+
+def top_findings(found: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
+    """The k findings of the largest score, ties by the other columns; each executor keeps k rows."""
+    return found.orderBy(F.desc(score), *ties).limit(k)
+
+
+def family_counts(names: list[str], families: dict[str, str]) -> dict[str, int]:
+    """How many names fit each family's pattern; the first that fits takes a name, the others go to ``other``."""
+    out = dict.fromkeys([*families, "other"], 0)
+    for n in names:
+        out[next((f for f, p in families.items() if re.fullmatch(p, n)), "other")] += 1
+    return out

@@ -140,24 +140,35 @@ def kappa(r: Column) -> Column:
     return F.greatest(F.least(k, F.lit(1000.0)), F.lit(0.0))
 
 
+_LINEAR, _GEOMETRIC, _TOP = 400, 1200, 1000.0
+
+
 @lru_cache
-def half_width_table(alpha: float = 0.9, points: int = 200) -> tuple[list[float], list[float]]:
+def half_width_table(alpha: float = 0.9) -> tuple[list[float], list[float]]:
     """Half-widths of central intervals for a grid of concentrations, by numerical inversion of the distribution."""
-    grid = np.concatenate([np.linspace(1e-6, 1, points // 4, endpoint=False), np.geomspace(1, 1000, points - points // 4)])
+    grid = np.concatenate([np.linspace(1e-6, 1, _LINEAR, endpoint=False), np.geomspace(1, _TOP, _GEOMETRIC)])
     width = []
     for k in grid:
-        top = min(math.pi, 12 / math.sqrt(max(k, 1e-9)))
-        x = np.linspace(0, top, 20_001)
+        x = np.linspace(0, min(math.pi, 12 / math.sqrt(max(k, 1e-9))), 20_001)
         density = np.exp(k * (np.cos(x) - 1))
         mass = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
         width.append(float(np.interp(alpha, mass / mass[-1], x)))
     return grid.tolist(), width
 
 
+def half_width(k: Column, alpha: float = 0.9) -> Column:
+    """The half-width for a concentration, linear between the table's points, whose place follows from the concentration."""
+    grid, width = half_width_table(alpha)
+    low = F.floor((k - 1e-6) / ((1 - 1e-6) / _LINEAR))
+    high = _LINEAR + F.floor(F.log(F.greatest(k, F.lit(1.0))) * ((_GEOMETRIC - 1) / math.log(_TOP)))
+    i = F.greatest(F.least(F.when(k < 1, low).otherwise(high), F.lit(len(grid) - 2)), F.lit(0)).cast("int")
+    xs, ys = F.array(*map(F.lit, grid)), F.array(*map(F.lit, width))
+    x0, x1, y0, y1 = F.element_at(xs, i + 1), F.element_at(xs, i + 2), F.element_at(ys, i + 1), F.element_at(ys, i + 2)
+    return F.when(k <= 1e-6, math.pi).when(k >= _TOP, width[-1]).otherwise(y0 + (y1 - y0) * (k - x0) / (x1 - x0))
+
+
 def circular(df: DataFrame, s: HistorySpec, ts: str, days: tuple[int, ...] = (7, 30), alpha: float = 0.9) -> DataFrame:
     """Mean direction and concentration of the time of day in prior windows, distance from it, and whether within the interval."""
-    from .relational import interpolate
-
     df = df.withColumn("_a", day_angle(F.col(ts)))
     for d in days:
         w = d * 24 * s.unit
@@ -166,11 +177,24 @@ def circular(df: DataFrame, s: HistorySpec, ts: str, days: tuple[int, ...] = (7,
         df = df.withColumn(f"h_vm{d}_r", F.when(enough, F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.col("_n"))).withColumn(f"h_vm{d}_n", F.col("_n"))
         df = df.withColumn("_d", F.when(enough, circle_distance(F.col("_a"), F.atan2("_s", "_c"))))
         df = df.withColumn("_k", kappa(F.col(f"h_vm{d}_r")))
-        q = F.when(F.col("_k") <= 1e-6, math.pi).otherwise(interpolate(F.col("_k"), *half_width_table(alpha)))
+        q = half_width(F.col("_k"), alpha)
         df = df.withColumn(f"h_vm{d}_hours", F.col("_d") * 12 / math.pi).withColumn(f"h_vm{d}_inside", F.when(F.col("_d").isNotNull(), (F.col("_d") <= q).cast("byte")))
     return df.drop("_a", "_n", "_c", "_s", "_d", "_k")
 
 
+def feature_names(s: HistorySpec, days: tuple[int, ...] = (7, 30)) -> list[str]:
+    """All history columns in a fixed order."""
+    out = ["h_n_prior"] + [f"h_{k}_{w}h" for w in s.windows_h for k in ("cnt", "amt")]
+    out += [f"h_{c}_{k}_{w}h" for c in s.contexts for w in s.windows_h for k in ("cnt", "amt")]
+    out += ["h_hours_since_last", "h_prev_amt", "h_amt_to_prev", "h_amt_mean", "h_amt_to_mean", "h_amt_z", *[f"h_amt_to_{c}_mean" for c in s.contexts]]
+    return out + ["h_km_to_prev", "h_speed_kmh", "h_home_km_mean", "h_home_km_ratio"] + [f"h_vm{d}_{k}" for d in days for k in ("n", "r", "hours", "inside")]
+
+
+def all_history(df: DataFrame, s: HistorySpec, home: tuple[str, str], place: tuple[str, str], ts: str, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """``df`` with every history column."""
+    return circular(geo(deviation(context_history(entity_history(df, s), s), s), s, home, place), s, ts, days)
+
+
 def as_float(df: DataFrame) -> DataFrame:
     """History columns narrowed to 32 bits, as the last step."""
     return df.withColumns({c: F.col(c).cast("float") for c in df.columns if c.startswith("h_")})

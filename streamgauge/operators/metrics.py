@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+from .ranking import ranked, running
+from .relational import interpolate
+
 
 def curve(df: DataFrame, y: str, p: str) -> DataFrame:
-    """p, tp, fp: positives and negatives at or above each distinct score."""
-    by = df.groupBy(p).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select(F.col(p).alias("p"), "pos", "n", F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"))
+    """p, pos, n, tp, fp: positives and rows of each distinct score, positives and negatives at or above it."""
+    by = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return running(by, [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")})
 
 
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -61,8 +68,13 @@ def operating_point(df: DataFrame, y: str, p: str, threshold: float) -> DataFram
 
 
 def calibration_bins(df: DataFrame, y: str, p: str, seq: str, bins: int = 10) -> DataFrame:
-    """Equal-frequency bins by score: n, mean score, rate."""
-    b = df.withColumn("bin", F.ntile(bins).over(Window.orderBy(p, seq)))
+    """Equal-frequency bins by score: n, mean score, rate. The first n % bins bins hold a row more."""
+    b = ranked(df.select(y, p, seq), [p, seq], "_rank")
+    n = b.agg(F.count(F.lit(1))).scalar()
+    small, more = F.floor(n / bins), n % bins
+    at = F.col("_rank") - 1
+    late = F.when(small > 0, more + F.floor((at - more * (small + 1)) / small))
+    b = b.withColumn("bin", (F.when(at < more * (small + 1), F.floor(at / (small + 1))).otherwise(late) + 1).cast("int"))
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate"))
 
 
@@ -97,13 +109,101 @@ def f1_threshold(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def cost_threshold(df: DataFrame, y: str, p: str, amount: str, fixed: float) -> DataFrame:
     """The score with the least cost; the lowest of equal ones."""
-    by = df.groupBy(p).agg(F.sum(F.when(F.col(y) == 1, F.col(amount)).otherwise(0.0)).alias("a"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = by.agg(F.sum("a")).scalar()
-    c = by.select(F.col(p).alias("p"), (F.sum("n").over(w) * fixed + all_ - F.sum("a").over(w)).alias("cost"))
+    by = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.when(F.col(y) == 1, F.col(amount)).otherwise(0.0)).alias("a"), F.count(F.lit(1)).alias("n"))
+    c = running(by, [F.desc("p")], {"alerts": F.col("n"), "caught": F.col("a")})
+    c = c.select("p", (F.col("alerts") * fixed + by.agg(F.sum("a")).scalar() - F.col("caught")).alias("cost"))
     return c.agg(F.min("cost").alias("cost"), F.min_by("p", F.struct(F.round("cost", 6), "p")).alias("threshold"))
 
 
+def candidates(df: DataFrame, p: str, points: int = 2000) -> DataFrame:
+    """threshold: the distinct quantiles of the score on an even grid, linear between rows, and infinity. At most points + 1 rows."""
+    r = ranked(df.select(p).where(F.col(p).isNotNull()), [p], "_rank").select(F.col(p).alias("v"), (F.col("_rank") - 1).alias("at"))
+    n = r.agg(F.count(F.lit(1))).scalar()
+    grid = df.sparkSession.range(points).select((F.col("id") * (n - 1) / F.lit(float(points - 1))).alias("place"))
+    grid = grid.withColumns({"lo": F.floor("place"), "hi": F.ceil("place")})
+    low, high = r.select(F.col("at").alias("lo"), F.col("v").alias("x")), r.select(F.col("at").alias("hi"), F.col("v").alias("z"))
+    found = grid.join(low, "lo").join(high, "hi").select((F.col("x") + (F.col("z") - F.col("x")) * (F.col("place") - F.col("lo"))).alias("threshold"))
+    return found.unionByName(df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"))).distinct()
+
+
+def _at_candidates(df: DataFrame, y: str, p: str, amount: str | None, points: int) -> DataFrame:
+    """threshold, tp, fp, caught: what lies at or above each candidate, by one ordered pass over scores and candidates."""
+    value = F.when(F.col(y) == 1, F.col(amount).cast("double")).otherwise(0.0) if amount else F.lit(0.0)
+    by = df.groupBy(F.col(p).cast("double").alias("v")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("a"))
+    asked = candidates(df, p, points).select(F.col("threshold").alias("v"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("a"), F.lit(True).alias("asked"))
+    both = by.withColumn("asked", F.lit(False)).unionByName(asked)
+    c = running(both, [F.desc("v"), F.col("asked")], {"tp": F.col("pos"), "all": F.col("n"), "caught": F.col("a")})
+    return c.where("asked").select(F.col("v").alias("threshold"), "tp", (F.col("all") - F.col("tp")).alias("fp"), "caught")
+
+
+def policy_thresholds(df: DataFrame, y: str, p: str, seq: str, amount: str | None = None, fixed: float = 1.0, fprs: tuple[float, ...] = (0.001, 0.005), alerts: tuple[float, ...] = (0.005, 0.01), points: int = 2000) -> DataFrame:
+    """name, threshold: the score of the largest F1 and of the least cost over the candidates (the lowest of equal ones), of the
+    largest recall within each false-positive rate, and of the last of the top rate of rows."""
+    named = lambda name, x: x.select(F.lit(name).alias("name"), F.col("threshold").cast("double").alias("threshold"))
+    positives = df.agg(F.sum(F.col(y).cast("long"))).scalar()
+    c = kept(_at_candidates(df, y, p, amount, points), "thresholds")
+    f1 = F.round(F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("tp") + F.col("fp") + positives)).otherwise(0.0), 12)
+    out = [named("f1_max", c.agg(F.max_by("threshold", F.struct(f1, -F.col("threshold"))).alias("threshold")))]
+    for f in fprs:
+        out.append(named(f"fpr_{f:g}", recall_at_fpr(df, y, p, f).select(F.coalesce("threshold", F.lit(float("inf"))).alias("threshold"))))
+    n = df.count()
+    if alerts and n:
+        by = running(df.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n")), [F.desc("p")], {"cum": F.col("n")})
+        cuts = by.agg(*[F.max(F.when(F.col("cum") >= max(1, round(a * n)), F.col("p"))).alias(f"a{i}") for i, a in enumerate(alerts)])
+        out += [named(f"alert_{a:g}", cuts.select(F.col(f"a{i}").alias("threshold"))) for i, a in enumerate(alerts)]
+    if amount:
+        every = df.agg(F.sum(F.when(F.col(y) == 1, F.col(amount).cast("double")).otherwise(0.0))).scalar()
+        cost = F.round((F.col("tp") + F.col("fp")) * fixed + every - F.col("caught"), 6)
+        out.append(named(f"cost_ca{fixed:g}", c.agg(F.min_by("threshold", F.struct(cost, "threshold")).alias("threshold"))))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def apply_platt(p: Column, slope: float, intercept: float, eps: float = 1e-7) -> Column:
+    """The calibrated score: a logistic curve over the logit of the score."""
+    q = F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))
+    return 1 / (1 + F.exp(-(slope * F.log(q / (1 - q)) + intercept)))
+
+
+def apply_isotonic(p: Column, boundaries: list[float], values: list[float]) -> Column:
+    """The calibrated score: linear between the fitted boundaries, constant beyond them, within [0, 1]."""
+    return F.greatest(F.least(interpolate(p, boundaries, values), F.lit(1.0)), F.lit(0.0))
+
+
+@dataclass
+class Calibrator:
+    """none, platt or isotonic; state is plain JSON."""
+
+    method: str = "none"
+    state: dict | None = None
+
+    def fit(self, df: DataFrame, y: str, p: str) -> Calibrator:
+        if self.method == "platt":
+            slope, intercept = platt(df, y, p)
+            self.state = {"slope": slope, "intercept": intercept}
+        elif self.method == "isotonic":
+            boundaries, values = isotonic(df, y, p)
+            self.state = {"boundaries": boundaries, "values": values}
+        elif self.method == "none":
+            self.state = {}
+        else:
+            raise ValueError(f"no calibration {self.method!r}")
+        return self
+
+    def column(self, p: Column) -> Column:
+        if self.state is None:
+            raise RuntimeError("the calibrator is not fitted")
+        if self.method == "platt":
+            return apply_platt(p, **self.state)
+        return apply_isotonic(p, **self.state) if self.method == "isotonic" else p
+
+    def to_json(self) -> str:
+        return json.dumps({"method": self.method, "state": self.state}, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Calibrator:
+        return cls(**json.loads(text))
+
+
 def platt(df: DataFrame, y: str, p: str):
     """Logistic calibration on the logit of the score; returns the fitted pair (slope, intercept)."""
     from pyspark.ml.classification import LogisticRegression
@@ -111,7 +211,7 @@ def platt(df: DataFrame, y: str, p: str):
 
     q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-7)), F.lit(1e-7))
     z = VectorAssembler(inputCols=["_z"], outputCol="_v").transform(df.withColumn("_z", F.log(q / (1 - q))).withColumn("_y", F.col(y).cast("double")))
-    m = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1e-9, maxIter=200).fit(z)
+    m = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1e-9, maxIter=200, tol=1e-10).fit(z)
     return float(m.coefficients[0]), float(m.intercept)
 
 

@@ -12,10 +12,11 @@ def assert_unique(df: DataFrame, key: list[str], side: str) -> None:
         raise ValueError(f"the {side} side repeats the key {key}: {twice[0].asDict()}")
 
 
-def left_join_one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """Left outer join that fails where either side repeats a key."""
-    assert_unique(left, key, "left")
-    assert_unique(right, key, "right")
+def left_join_one_to_one(left: DataFrame, right: DataFrame, key: list[str], declared: tuple[str, ...] = ()) -> DataFrame:
+    """Left outer join that fails where either side repeats a key. Sides in ``declared`` ("left", "right") are known to be unique and not checked."""
+    for name, side in (("left", left), ("right", right)):
+        if name not in declared:
+            assert_unique(side.select(*key), key, name)
     return left.join(right, key, "left")
 
 
@@ -40,16 +41,27 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return sides.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"), F.count_if(F.col("_b").isNull()).alias("n_only_a"), F.count_if(F.col("_a").isNull()).alias("n_only_b"))
 
 
-def lookup(c: Column, values: dict, default, most: int = 10_000) -> Column:
-    """A fitted dictionary as an expression. Larger dictionaries belong in a joined table."""
-    if len(values) > most:
-        raise ValueError(f"{len(values)} entries; join a table beyond {most}")
+#: Dictionaries of more entries are joined as tables.
+MOST_LITERALS = 10_000
+
+
+def lookup(c: Column, values: dict, default) -> Column:
+    """A fitted dictionary as an expression; for larger ones see ``looked_up``."""
+    if len(values) > MOST_LITERALS:
+        raise ValueError(f"{len(values)} entries; join a table beyond {MOST_LITERALS}")
     if not values:
         return F.lit(default)
     pairs = [F.lit(x) for kv in values.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c), F.lit(default))
 
 
+def looked_up(df: DataFrame, c: str, table: DataFrame, value: str, output: str, default) -> DataFrame:
+    """``df`` with ``output``: the table's value for the column, joined on its column ``v`` of distinct strings; ``default`` where it has none."""
+    side = table.select(F.col("v").alias("_v"), F.col(value).alias("_found"))
+    out = df.withColumn("_key", F.col(c).cast("string")).join(side, F.col("_key") == F.col("_v"), "left")
+    return out.withColumn(output, F.coalesce("_found", F.lit(default))).drop("_key", "_v", "_found")
+
+
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
     """Piecewise linear interpolation on a table, constant beyond its ends."""
     px, py = F.array(*map(F.lit, map(float, xs))), F.array(*map(F.lit, map(float, ys)))

@@ -22,9 +22,10 @@ def load(folder: str) -> dict[str, str]:
     index = json.loads((root / "bundle.json").read_text())["sha256"]
     out = {}
     for name, digest in index.items():
-        if (root / name).exists():
-            text = (root / name).read_text()
-            if hashlib.sha256(text.encode()).hexdigest() != digest:
-                raise ValueError(f"{name} differs from its digest")
-            out[name] = text
+        if not (root / name).exists():
+            raise FileNotFoundError(f"{name} is in the index but not in {folder}")
+        text = (root / name).read_text()
+        if hashlib.sha256(text.encode()).hexdigest() != digest:
+            raise ValueError(f"{name} differs from its digest")
+        out[name] = text
     return out

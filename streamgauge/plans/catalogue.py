@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,15 +13,15 @@ from ..functions.views import ModelView
 from ..operators import audit, history, metrics, neighbours, relational, splits
 from ..sources import readers
 from ..sources.contracts import EVENTS
-from ..streaming import stateful
+from ..sources.scratch import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str]] = {}
 HOUR = history.MICROS_PER_HOUR
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
@@ -34,11 +32,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import extended  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import extended  # noqa: F401
+
+    return {k: v if isinstance(v, str) else v() for k, v in _SQL.items()}
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,11 +160,6 @@ def win_hist_circular(spark, sf_dir):
     return out.select("event_id", "h_vm7_n", *r6("h_vm7_r"))
 
 
-@query()
-def win_hist_circular_interval(spark, sf_dir):
-    return history.circular(events(spark, sf_dir), spec(), "ts").select("event_id", "h_vm7_hours", "h_vm7_inside", "h_vm30_hours", "h_vm30_inside")
-
-
 @query(f"with {EV} select event_id, coalesce(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as prior_positives from e")
 def win_prior_positives(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("y", (F.col("event_type") == "error").cast("long"))
@@ -206,9 +203,9 @@ def j03_existence_flag(spark, sf_dir):
     return relational.flag_existing(t(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"], "has_orders")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def j04_anti_join(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return relational.only_left(t(spark, sf_dir, "customer"), o, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -282,7 +279,7 @@ def o04_intersect(spark, sf_dir):
 
 @query("select event_id, user_id, event_type, value from events")
 def sc01_csv_round_trip(spark, sf_dir):
-    folder = _folder(spark, "csv")
+    folder = fresh(spark, "csv")
     t(spark, sf_dir, "events").write.option("header", True).csv(folder)
     return readers.read_csv(spark, folder, EVENTS, ["event_id", "user_id", "event_type", "value"])
 
@@ -643,33 +640,3 @@ def j10_nearest(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
     near = neighbours.nearest(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
     return near.select("q", F.row_number().over(Window.partitionBy("q").orderBy("d", "n")).alias("rank"), F.round("d", 5).alias("d"))
-
-
-@query("select count(*)::bigint * 2 as n from embeddings where label = 1")
-def x08_smote_counts(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").where("label < 2").withColumn("y", (F.col("label") == 1).cast("int"))
-    n = e.where("y = 1").count()
-    return neighbours.smote(e, "vec_id", "embedding", "y", 2 * n).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def x09_edited(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").where("label < 2").withColumn("y", (F.col("label") == 1).cast("int"))
-    return neighbours.edited(e.select("vec_id", "embedding", "y"), "vec_id", "embedding", "y").select("vec_id", "y")
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the session names; one of our own only in local runs that name none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="streamgauge-")
-    return f"{base.rstrip('/')}/catalogue/{name}-{os.urandom(6).hex()}"
-
-
-@query(_hist_sql(EV, "e", "event_id", "user_id", "value", (24, 168)))
-def st01_stream_parity(spark, sf_dir):
-    e = events(spark, sf_dir).select(F.col("user_id").alias("entity"), "event_id", "t", F.col("value").alias("amount"))
-    out = stateful.replay(e, (24 * HOUR, 168 * HOUR), _folder(spark, "stream"), "events")
-    return out.where("status = 'ok'").select("event_id", "h_n_prior", *[c for i, w in enumerate((24, 168)) for c in (F.col("counts")[i].alias(f"h_cnt_{w}h"), F.round(F.col("sums")[i], 2).alias(f"h_amt_{w}h"))])

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .contracts import Contract
+from .contracts import Declared
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -26,9 +28,9 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, contract: Contract, columns: list[str] | None = None, bad: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, contract: Declared, columns: list[str] | None = None, bad: str | None = None) -> DataFrame:
     """A CSV table with the contract's types; NaN becomes null. ``bad``: a column for rows that don't parse."""
-    schema = contract.schema(header(spark, path))
+    schema = contract.of(header(spark, path))
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if bad:
         schema, reader = T.StructType([*schema.fields, T.StructField(bad, T.StringType())]), reader.option("columnNameOfCorruptRecord", bad)
@@ -41,15 +43,17 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.nanvl(f.name, F.lit(None)) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
-def read_zip_member(spark: SparkSession, path: str, member: str, names: list[str]) -> DataFrame:
-    """Rows of a CSV member of zip archives, all as strings. An archive is a task; its member is streamed, not extracted."""
+def read_zip_member(spark: SparkSession, paths: list[str], member: str, names: list[str]) -> DataFrame:
+    """Rows of a CSV member of zip archives (URIs), all as strings. An archive is a task, which opens the file itself and
+    streams the member: neither the archive nor the member is held whole."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z, z.open(member) as f:
+            for uri in batch.column("path").to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as raw, zipfile.ZipFile(raw) as z, z.open(member) as f:
                     held: list[list[str | None]] = []
-                    for r in csv.DictReader(io.TextIOWrapper(f, encoding="utf-8")):
+                    for r in csv.DictReader(io.TextIOWrapper(f, encoding="utf-8", newline="")):
                         held.append([r.get(n) or None for n in names])
                         if len(held) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=names)
@@ -57,7 +61,15 @@ def read_zip_member(spark: SparkSession, path: str, member: str, names: list[str
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ", ".join(f"`{n}` string" for n in names))
+    listed = spark.createDataFrame([(i, p if "://" in p else "file://" + os.path.abspath(p)) for i, p in enumerate(paths)], "n int, path string")
+    return listed.repartitionById(max(1, len(paths)), F.col("n")).select("path").mapInArrow(rows, ", ".join(f"`{n}` string" for n in names))
+
+
+def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of JSON events, one a line, from files that arrive in a folder: the schema's columns and ``bad``, true where a line is no event."""
+    lines = spark.readStream.text(path)
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(read.alias("e")).select("e.*").withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
 
 
 def canonical_names(df: DataFrame) -> DataFrame:
@@ -66,16 +78,10 @@ def canonical_names(df: DataFrame) -> DataFrame:
 
 
 def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """A long ``seq`` by the given order, without a single-task sort: rows are ranged, counted by partition and numbered."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_p", F.shiftright("_m", 33)).persist()
-    at, starts = 0, []
-    for r in ranged.groupBy("_p").count().orderBy("_p").collect():  # a row a partition
-        starts.append((r["_p"], at))
-        at += r["count"]
-    base = spark.createDataFrame(starts or [(0, 0)], "_p long, _s long")
-    return ranged.join(F.broadcast(base), "_p").withColumn("seq", F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_s")
+    """A long ``seq`` from 0 by the given order, without a single-task sort; stored, so that a lost executor changes no number."""
+    from ..operators.ranking import ranked
+
+    return ranked(df, list(order), "seq").withColumn("seq", F.col("seq") - 1)
 
 
 class Registry:

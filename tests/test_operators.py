@@ -1,15 +1,17 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streamgauge.functions.steps import Pipeline, step
 from streamgauge.functions.views import ModelView
-from streamgauge.operators import audit, history, metrics, neighbours, relational, splits
-from streamgauge.plans import bundle
+from streamgauge.operators import audit, history, metrics, models, neighbours, ranking, relational, splits
+from streamgauge.plans import bundle, runs
 from streamgauge.sources import readers
-from streamgauge.sources.contracts import EVENTS, ColumnSpec, Contract, Family, Role, missing_fields
+from streamgauge.sources.contracts import EVENTS, Declared, column, missing_fields
+from streamgauge.streaming import stateful
 from streamgauge.streaming.stateful import Entity
 
 
@@ -45,21 +47,69 @@ def test_future_never_changes_the_past(spark):
 
 def test_state_machine_equals_windows():
     rng = random.Random(2)
+    s = history.HistorySpec("e", "t", "s", "a", ("c",), (5, 20), deviation_h=20, unit=1)
+    own, seen, names = Entity(s, (1,)), [], history.feature_names(s, (1,))
     rows = sorted((t, i) for i, t in enumerate(rng.choices(range(60), k=80)))
-    own, seen = Entity((5, 20)), []
-    for t, i in rows:
-        status, prior, counts, sums = own.process(t, i, float(i))
-        assert status == "ok" and prior == len(seen)
-        for w, c, s in zip((5, 20), counts, sums):
-            past = [a for u, a in seen if u > t - w]
-            assert (c, s) == (len(past), sum(past))
-        seen.append((t, float(i)))
-    assert own.process(rows[-1][0], rows[-1][1], 1.0)[0] == "duplicate"
-    assert own.process(-1, 999, 1.0)[0] == "out_of_order"
-    again = Entity.restore((5, 20), own.snapshot())
-    assert again.process(100, 1000, 1.0) == own.process(100, 1000, 1.0)
+    at = 0
+    while at < len(rows):  # batches of any size give what one by one would
+        part = rows[at : at + rng.randint(1, 9)]
+        values = [[t, float(i), 1.0, 2.0, 3.0, 4.0] for t, i in part]
+        status, out = own.process(np.array(values), np.array([i for _, i in part]), [["xy"[i % 2]] for _, i in part])
+        for (t, i), st, f in zip(part, status, out):
+            f = dict(zip(names, f))
+            assert st == "ok" and f["h_n_prior"] == len(seen)
+            for w in (5, 20):
+                past = [(a, c) for u, a, c in seen if u > t - w]
+                assert (f[f"h_cnt_{w}h"], f[f"h_amt_{w}h"]) == (len(past), sum(a for a, _ in past))
+                mine = [a for a, c in past if c == "xy"[i % 2]]
+                assert (f[f"h_c_cnt_{w}h"], f[f"h_c_amt_{w}h"]) == (len(mine), sum(mine))
+            seen.append((t, float(i), "xy"[i % 2]))
+        at += len(part)
+        own = Entity.restore(s, (1,), own.snapshot())
+    one = lambda t, i: own.process(np.array([[t, 1.0, 1.0, 2.0, 3.0, 4.0]]), np.array([i]), [["x"]])[0]
+    assert one(*rows[-1]) == ["duplicate"] and one(-1, 999) == ["out_of_order"] and one(100, 1000) == ["ok"]
+    assert own.totals["n"] == 81 and len(own.buffer) == 1
     with pytest.raises(ValueError):
-        Entity.restore((5,), ("old", [], [], 0, None, None))
+        Entity.restore(s, (1,), json.dumps({"format": "old"}))
+
+
+def test_states_are_refused_and_upgraded(spark, tmp_path):
+    s = history.HistorySpec("e", "t", "s", "a", (), (5,), unit=1)
+    rows = spark.createDataFrame([("a", i, i, 1.0, 0.0, 0.0, 0.0, 0.0, [], None) for i in range(3)], stateful.INPUT)
+    states = stateful.bulk_state(rows, s)
+    stateful.save_states(states, str(tmp_path / "new"))
+    assert stateful.load_states(spark, str(tmp_path / "new")).collect() == states.collect()
+    old = states.withColumn("format", F.lit("history-state-1"))
+    old.write.parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError):
+        stateful.load_states(spark, str(tmp_path / "old"))
+    assert stateful.upgraded(old, rows, s).collect() == states.collect()
+    with pytest.raises(ValueError):
+        stateful.upgraded(states.withColumn("format", F.lit("?")), rows, s)
+    with stateful.SingleWriter(spark, str(tmp_path / "lock")):
+        with pytest.raises(RuntimeError), stateful.SingleWriter(spark, str(tmp_path / "lock")):
+            pass
+    with stateful.SingleWriter(spark, str(tmp_path / "lock")):
+        pass
+
+
+def test_running_sums_and_ranks(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 9), float(rng.randint(0, 5))) for i in range(500)]
+    df = spark.createDataFrame(rows, "s int, c string, t int, x double").repartition(7)
+    total, seen = 0.0, {}
+    for i, c, t, x in sorted(rows, key=lambda r: (r[2], -r[0])):
+        total += x
+        seen[i] = total
+    out = ranking.running(df, ["t", F.desc("s")], {"up": F.col("x"), "before": F.col("x")}, exclusive=("before",))
+    assert {r.s: r.up for r in out.collect()} == seen and all(r.up - r.before == r.x for r in out.collect())
+    want = {r[0]: n for c in "ab" for n, r in enumerate(sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[0])), 1)}
+    assert {r.s: r.rank for r in ranking.ranked(df, ["t", "s"], within=("c",)).collect()} == want
+    by = sorted(rows)
+    assert ranking.steps(df, ["s"], "t", [F.count_if(F.col("t") < F.col("_previous")).alias("n")]).first().n == sum(a[2] > b[2] for a, b in zip(by, by[1:]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert ranking.running(df.limit(0), ["s"], {"n": F.lit(1)}).count() == 0
 
 
 def test_half_width_table():
@@ -84,8 +134,15 @@ def test_splits(spark):
     assert out.groupBy("t").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
     gap = splits.temporal_split(df, "t", gap=3)
     assert splits.check_parts(gap, "seq")["none"] > 0
-    with pytest.raises(ValueError):
-        splits.temporal_split(df.where("t = 0"), "t")
+    for wrong in [dict(df=df.where("t = 0")), dict(df=df, fractions=(0.5, 0.1, 0.1)), dict(df=df.withColumn("t", F.when(F.col("t") > 5, F.col("t"))))]:
+        with pytest.raises(ValueError):
+            splits.temporal_split(t="t", **wrong)
+    assert splits.violations(out, "seq", "t", ("train", "validation", "holdout")) == [] and splits.violations(gap, "seq", "t", ("train", "validation", "holdout"), gap=3) == []
+    assert "gap violated between train and validation" in splits.violations(out, "seq", "t", ("train", "validation", "holdout"), gap=9)
+    assert "part other empty" in splits.violations(out, "seq", "t", ("train", "other"))
+    assert len(splits.violations(df.withColumn("part", F.when(F.col("t") < 50, "a").otherwise("b")).withColumn("y", (F.col("t") < 50).cast("int")), "seq", None, ("a", "b"), y="y")) == 2
+    with pytest.raises(RuntimeError):
+        splits.check_natural(df.limit(3).withColumn("y", F.lit(1)), df.withColumn("y", F.lit(1)), "x", "y")
     with pytest.raises(ValueError):
         splits.under_sample(df, "t", "seq", role="validation")
     sealed = splits.SealedHoldout(df)
@@ -155,15 +212,74 @@ def test_neighbours_in_blocks(spark):
 
 
 def test_contracts():
-    c = Contract("x", (ColumnSpec("id", "int", Role.ROW_ID), ColumnSpec("y", "int", Role.TARGET)), (Family(r"v\d+", "float", Role.INPUT),), row_id="id", target="y")
-    found, unexpected = c.resolve(["id", "v1", "odd"])
-    assert list(found) == ["id", "v1"] and unexpected == ["odd"] and c.validate() == []
-    assert Contract("z", (ColumnSpec("y", "int", Role.INPUT),), target="y").validate()
+    c = Declared("x", [column("id", "int", "row_id"), column("y", "int", "target")], [column(r"v\d+", "float", "input")], {"row_id": "id", "target": "y"})
+    found = c.of(["id", "v1", "odd"])
+    assert found["v1"].dataType.simpleString() == "double" and found["odd"].metadata == {"role": "undeclared"} and c.faults() == []
+    assert c.names(["id", "v1", "v2", "y"], "input") == ["v1", "v2"] and c.features(["id", "y", "v1", "odd"]) == ["v1", "odd"] and c.required(["id", "y", "v1"]) == ["id", "v1"]
+    assert len(Declared("z", [column("y", "int", "input"), column("y", "int", "input")], keys={"target": "y", "entity": "gone"}, dedup=("gone",)).faults()) == 4
+    with pytest.raises(ValueError):
+        column("a", "int", "nothing")
     with pytest.raises(ValueError):
-        c.assert_no_label(["v1", "y"])
+        c.forbid_answers(["v1", "y"])
     with pytest.raises(KeyError):
         missing_fields(["a"], ["b"])
-    assert EVENTS.snapshot() == EVENTS.snapshot()
+    assert Declared.from_json(c.to_json()).to_json() == c.to_json() and c.differs(EVENTS.to_json()) == ["fields", "keys", "name", "numbered"]
+
+
+def test_targets_and_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "a"), (2, 1, "a")], "s int, y int, k string")
+    assert [r.y for r in runs.binary_target(df, "y").orderBy("s").collect()] == [0, 1]
+    for bad in (df.withColumn("y", F.lit(None).cast("int")), df.withColumn("y", F.lit(2))):
+        with pytest.raises(ValueError):
+            runs.binary_target(bad, "y")
+    with pytest.raises(KeyError):
+        runs.binary_target(df, "z")
+    with pytest.raises(ValueError):
+        runs.matured(df, "s", 5, 1)
+    assert df.select(runs.matured(df, "s", 2, 1, simulated=True).alias("m")).collect() == [(True,), (False,)] and df.where(runs.matured(df, "s", 0)).count() == 2
+    assert runs.prepare(df, "benchmark", ["k"], "s")[1] == 0 and runs.prepare(df, "temporal", ["k"], "s")[1] == 1
+    assert "More than 1 rows." in runs.report("x", {"d": df}, 1)
+    split = splits.temporal_split(spark.createDataFrame([(i, i, i % 2) for i in range(40)], "s int, t int, y int"), "t")
+    assert json.loads(runs.split_json(splits.summary(split, "t", "y"), ("train", "validation", "holdout"), [27, 33]))["summary"][0]["n"] == 28
+    assert json.loads(runs.manifest_json(["v1", "z"], {"v": r"v\d"}))["families"] == {"v": 1, "other": 1}
+
+
+def test_models(spark):
+    df = spark.createDataFrame([(i, float(i % 10), i % 3, int(i % 10 > 6)) for i in range(200)], "s int, x double, z int, y int")
+    assert abs(models.Model("dummy").fit(df, [], "y").fitted - 0.3) < 1e-9
+    m = models.Model("logistic").fit(df.where("s < 100"), ["x", "z"], "y")
+    assert metrics.roc_auc(m.score(df.where("s >= 100")), "y", "p").first()[0] == 1.0 and m.importance()[0][0] == "x"
+    assert [r.feature for r in models.permutation_importance(df, m.score, ["x", "z"], "y", "s").where("drop > 0.1").collect()] == ["x"]
+    with pytest.raises(KeyError):
+        models.Model("none").fit(df, ["x"], "y")
+    with pytest.raises(RuntimeError):
+        models.Model("logistic").score(df)
+    assert models.search("trees", 5, 1) == models.search("trees", 5, 1) and models.search("dummy", 5) == [{}]
+
+
+def test_edited_scopes(spark):
+    # 0 and 1 mixed at the border: each rule and scope by hand on a line
+    df = spark.createDataFrame([(i, [float(i)], y) for i, y in enumerate([0, 0, 0, 0, 1, 0, 1, 1])], "k long, v array<double>, y int")
+    near = {0: (1, 2), 1: (0, 2), 2: (1, 3), 3: (2, 4), 4: (3, 5), 5: (4, 6), 6: (5, 7), 7: (6, 5)}
+    y = {r.k: r.y for r in df.collect()}
+    agree = {k: [y[n] == y[k] for n in v] for k, v in near.items()}
+    run = lambda **o: {r.k for r in neighbours.edited(df, "k", "v", "y", k=2, **o).collect()}
+    assert run() == {k for k, a in agree.items() if all(a)} and run(rule="mode") == {k for k, a in agree.items() if 2 * sum(a) > 2}
+    assert run(scope="majority") == {k for k, a in agree.items() if all(a) or y[k] == 1}
+    both = neighbours.with_synthetic(df, "k", "v", "y", k=2)
+    assert both.where("y = 1").count() == 5 and both.where("k < 0").count() == 2 and both.select("k").distinct().count() == 10
+    assert neighbours.smote_edited(df, "k", "v", "y", k=2).count() < 10
+
+
+def test_large_dictionaries_are_joined(spark):
+    df = spark.createDataFrame([(str(i // 2),) for i in range(60)] + [(None,)], "c string")
+    new = spark.createDataFrame([("0",), ("x",), (None,)], "c string")
+    for kind in ("CategoricalTyper", "CategoricalEncoder", "FrequencyEncoder"):
+        small, large = (step(kind, columns=["c"], **o).fit(df) for o in ({}, {"most": 2}))
+        assert "tables" in large.state and "tables" not in small.state
+        for t in (df, new):
+            assert sorted(map(str, large.transform(t).collect())) == sorted(map(str, small.transform(t).collect()))
+            assert large.transform(t).columns == small.transform(t).columns
 
 
 def test_readers(spark, tmp_path):
@@ -171,7 +287,7 @@ def test_readers(spark, tmp_path):
 
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("m.csv", "k,v\n1,a\n2,\n")
-    assert sorted((r.k, r.v) for r in readers.read_zip_member(spark, str(tmp_path / "a.zip"), "m.csv", ["k", "v"]).collect()) == [("1", "a"), ("2", None)]
+    assert sorted((r.k, r.v) for r in readers.read_zip_member(spark, [str(tmp_path / "a.zip")], "m.csv", ["k", "v"]).collect()) == [("1", "a"), ("2", None)]
     out = readers.with_position(spark.createDataFrame([(x,) for x in (5, 3, 9, 1)], "t int"), "t").orderBy("seq").collect()
     assert [(r.seq, r.t) for r in out] == [(0, 1), (1, 3), (2, 5), (3, 9)]
     reg = readers.Registry()
@@ -190,6 +306,9 @@ def test_bundle(tmp_path):
     (tmp_path / "a.json").write_text("[]")
     with pytest.raises(ValueError):
         bundle.load(str(tmp_path))
+    (tmp_path / "a.json").unlink()
+    with pytest.raises(FileNotFoundError):
+        bundle.load(str(tmp_path))
 
 
 def test_findings(spark):
