@@ -6,17 +6,21 @@ string that ends there. Where that length reaches ``window`` words, the last ``w
 window; items of fewer words count whole. Word pairs that no item holds end every match of two or more words, so runs of
 known pairs are found for a whole text at once and only runs long enough for a window are streamed.
 
-The benchmark is a stated, bounded query set. It is cut into blocks of ``block_words`` words, one automaton a block, so
-that memory is bounded whatever its size; each document is held against every block in turn and hits are united.
+The benchmark is a stated query set of any size. It is cut into blocks of ``block_words`` words, one automaton a block. The
+driver builds one block after another from a stream of items and stores it in the scratch folder; a worker has one block
+open at a time, holds a batch of documents against it, then opens the next, and hits are united. Items of a state are kept
+only where a window is cut off, once for each place in the benchmark.
 
 Words: A-Z lower-cased, then runs of ``[0-9a-z]`` and characters beyond ASCII. Null or word-less texts have no words and
 no hits; null or word-less items have no windows; items that are equal are all reported; an empty benchmark gives no
-hits. Columns of the documents with other names are ignored or, in ``decontaminate``, kept.
+hits, an empty table no rows. Repeated rows are told each, very long texts streamed whole. ``report`` reads the key and the
+text only; ``decontaminate`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices
+from . import files
+from .common import fresh, ship, slices
 
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -38,7 +43,7 @@ class Automaton:
     """A suffix automaton of several word sequences.
 
     ``go[s]`` maps a word number to the next state, ``link[s]`` is the state of the longest proper suffix that other
-    contexts share, ``length[s]`` the longest string of the state, ``items[s]`` the sequences that hold its strings.
+    contexts share, ``length[s]`` the longest string of the state, ``items[s]`` the sequences that hold its window.
     """
 
     def __init__(self, sequences: list[tuple[int, list[bytes]]], window: int):
@@ -56,7 +61,6 @@ class Automaton:
             for w in ids:
                 state = self._extend(state, w)
                 ends.append((state, item))
-        self._spread(ends)
         self.least = window
         for item, words in sequences:
             if 0 < len(words) < window:
@@ -66,6 +70,10 @@ class Automaton:
                 self.whole.setdefault(state, []).append((len(words), item))
                 self.least = min(self.least, len(words))
         self._suffixes()
+        self.items: dict[int, set[int]] = {}
+        for state, item in ends:
+            if self.length[state] >= window:
+                self.items.setdefault(self.cut[state], set()).add(item)
         self.pairs = np.array(sorted(a * len(self.number) + b for a, b in pairs), np.int64)
 
     def _copy(self, of: int, length: int) -> int:
@@ -99,16 +107,6 @@ class Automaton:
             self.link[new] = self._redirect(state, word, self.go[state][word])
         return new
 
-    def _spread(self, ends: list[tuple[int, int]]) -> None:
-        """Items of each state: of the positions that end there, and of all states that have it as suffix."""
-        found: list[set[int]] = [set() for _ in self.go]
-        for state, item in ends:
-            found[state].add(item)
-        for s in sorted(range(1, len(self.go)), key=self.length.__getitem__, reverse=True):
-            if self.link[s] > 0:
-                found[self.link[s]] |= found[s]
-        self.items = found
-
     def _suffixes(self) -> None:
         """For each state: the state of its last ``window`` words, and the whole short items that end there."""
         self.cut, self.short = [0] * len(self.go), [()] * len(self.go)
@@ -167,12 +165,57 @@ def automata(items: list[tuple[int, str | None]], window: int, block_words: int)
     return [Automaton(sequences[a:b], window) for a, b in slices([len(w) for _, w in sequences], block_words)]
 
 
-def items_of(benchmark: DataFrame, key: str, text: str, most_words: int) -> list[tuple[int, str | None]]:
-    """The benchmark's items, after a check of their size: it is a stated query set, not a corpus."""
-    size = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first().n
-    if size > 8 * most_words:
-        raise ValueError(f"the benchmark holds {size} characters, more than {8 * most_words}; pass it in parts")
-    return [(r[0], r[1]) for r in benchmark.select(F.col(key).cast("long"), text).collect()]
+def stored(benchmark: DataFrame, key: str, text: str, window: int, block_words: int) -> list[str]:
+    """Places of the automata of all items, block by block; the driver holds the items and the automaton of one block."""
+    spark = benchmark.sparkSession
+    folder, out, held, words = fresh(spark, "benchmark"), [], [], 0
+    files.make_folder(folder)
+
+    def flush() -> None:
+        for a in automata(held, window, block_words):
+            out.append(f"{folder}/{len(out)}")
+            with files.open_write(out[-1]) as f:
+                f.write(pickle.dumps(a, 5))
+        held.clear()
+
+    for r in benchmark.select(F.col(key).cast("long"), text).toLocalIterator():
+        held.append((r[0], r[1]))
+        words += len(words_of(r[1]))
+        if words >= block_words:
+            flush()
+            words = 0
+    flush()
+    return out
+
+
+_OPEN: list[tuple[str, Automaton]] = []
+
+
+def opened(place: str) -> Automaton:
+    """A stored automaton; a worker keeps the last one."""
+    if not _OPEN or _OPEN[0][0] != place:
+        _OPEN.clear()
+        with files.open_read(place) as f:
+            _OPEN.append((place, pickle.loads(f.read())))
+    return _OPEN[0][1]
+
+
+def _hits(places: list[str], texts: list[str | None], most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, set[int]]]:
+    """Of each text: its number of words, which are hit, and the items with occurring windows.
+
+    With several blocks, texts of ``most`` characters together (or one longer text) are held against each block in turn.
+    """
+    for x, y in slices([len(t or "") for t in texts], most if len(places) > 1 else 1):
+        words = [words_of(t) for t in texts[x:y]]
+        hit, found = [np.zeros(len(w), bool) for w in words], [set() for _ in words]
+        for place in places:
+            block = opened(place)
+            for i, w in enumerate(words):
+                h, f = _scan([block], w)
+                if f:
+                    hit[i] |= h
+                    found[i] |= f
+        yield from ((len(w), h, f) for w, h, f in zip(words, hit, found, strict=True))
 
 
 def _scan(blocks: list[Automaton], words: list[bytes]) -> tuple[np.ndarray, set[int]]:
@@ -186,20 +229,17 @@ def _scan(blocks: list[Automaton], words: list[bytes]) -> tuple[np.ndarray, set[
     return np.cumsum(hit[:-1]) > 0, found
 
 
-def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = 10, block_words: int = 2_000_000, most_words: int = 50_000_000) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """A row a document: key, n_words, n_hit, n_items, items_sha256, contaminated. No shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(automata(items_of(benchmark, item_key, "text", most_words), window, block_words))
+    places = stored(benchmark, item_key, "text", window, block_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
         for batch in batches:
             n_words, n_hit, n_items, digest = [], [], [], []
-            for x in batch.column("text"):
-                words = words_of(x.as_py())
-                hit, found = _scan(blocks, words)
-                n_words.append(len(words))
+            for n, hit, found in _hits(places, batch.column("text").to_pylist()):
+                n_words.append(n)
                 n_hit.append(int(hit.sum()))
                 n_items.append(len(found))
                 digest.append(hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
@@ -219,7 +259,7 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(start[a]), int(end[b - 1])) for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", window: int = 10, coverage: float = 0.5, length_column: str | None = "n_chars", block_words: int = 2_000_000, most_words: int = 50_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", window: int = 10, coverage: float = 0.5, length_column: str | None = "n_chars", block_words: int = 2_000_000) -> DataFrame:
     """The documents without the spans that occur in the benchmark.
 
     A run of hit words is over the length limit (``window``) and is cut out of the text, with the blanks before it. A
@@ -228,19 +268,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(automata(items_of(benchmark, item_key, "text", most_words), window, block_words))
+    places = stored(benchmark, item_key, "text", window, block_words)
     schema, has_length = docs.schema, bool(length_column) and length_column in docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text)
             texts, keep, changed = batch.column(at).to_pylist(), [], {}
-            for i, x in enumerate(texts):
-                words = words_of(x)
-                hit, _ = _scan(blocks, words)
+            for i, (x, (n_words, hit, _)) in enumerate(zip(texts, _hits(places, texts), strict=True)):
                 n = int(hit.sum())
-                keep.append(not n or n < coverage * len(words))
+                keep.append(not n or n < coverage * n_words)
                 if n and keep[-1]:
                     data, out, done = x.encode("utf-8", "surrogatepass"), [], 0
                     for a, b in _spans(x, hit):
