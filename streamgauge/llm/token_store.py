@@ -1,18 +1,24 @@
 """Token ids as binary shards with a minimal perfect hash index (operator 8).
 
 ``write`` encodes whole texts, appends the end id and writes shards in ascending order of the key: a payload of raw
-little-endian ids (16 or 32 bits, by the vocabulary), and an index. The index of a shard maps each distinct key to a slot
-by a minimal perfect hash (cascaded bit arrays: a key sits at the first level where no other key meets it); the slot
-holds a fingerprint of the key, the place of its first row and the number of its rows, so that a look-up reads one slot
-and one slice of the payload whatever the shard holds. ``fetch`` looks keys up; ``read_back`` returns every row through
-the index.
-
-Rows: equal keys lie next to each other, in the order of their texts. A null key sorts first and is kept in the shard,
-outside the hash. A null text is empty and gives the end id alone. An empty table gives no shards and no rows.
+little-endian ids (16 bits where the vocabulary allows, else 32), and an index. The index of a shard maps each distinct key
+to a slot by a minimal perfect hash (cascaded bit arrays: a key sits at the first level where no other key meets it); the
+slot holds a fingerprint of the key, the place of its first row and the number of its rows.
+
+An index is laid out to be read in place. After its header, a look-up reads a block of bits with their rank for each level
+it visits (under two on average), one slot, the start of the rows and one slice of the payload, whatever the shard holds.
+``fetch`` finds the shards of a key by bisection and looks it up so; ``read_back`` returns every row through the index, and
+reads payloads in runs.
+
+Rows: equal keys lie next to each other, in the order of their texts; repeated rows are stored each. A null key sorts first
+and is kept in the shard, outside the hash. A null text is empty and gives the end id alone. Very long texts are encoded
+whole, one at a time. An empty table gives no shards and no rows. Only the key and the text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 from collections.abc import Iterator
@@ -23,12 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import fresh, parts, ship, text_of
-from .tokens import encoder, public
+from .common import fresh, parts, ship, slices, text_of
+from .tokens import encoder, public, size_of
 from .wordhash import mix
 
-MAGIC = b"SGIDS001"
+MAGIC = b"SGIDS002"
 _GAMMA = 2.0
+#: Bits in a block of a level, and its bytes: the rank of its first bit, then the bits.
+_BLOCK, _BLOCK_BYTES = 512, 8 + 64
+_HEAD = 4096
+_SLOT = np.dtype([("print", "<u4"), ("row", "<i8"), ("count", "<i8")])
+_RUN = 1 << 24
 
 
 class PerfectHash:
@@ -83,60 +94,123 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
         return (mix(keys.astype(np.uint64) ^ np.uint64(0xA5A5A5A5DEADBEEF)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _blocks(bits: np.ndarray, base: int) -> bytes:
+    """A level as blocks, each with the number of ones before it in this and all earlier levels."""
+    padded = np.zeros(-(-len(bits) // _BLOCK) * _BLOCK, bool)
+    padded[: len(bits)] = bits
+    rows = padded.reshape(-1, _BLOCK)
+    before = base + np.concatenate([[0], np.cumsum(rows.sum(axis=1))])[:-1]
+    out = np.zeros((len(rows), _BLOCK_BYTES), np.uint8)
+    out[:, :8] = before.astype("<u8").view(np.uint8).reshape(-1, 8)
+    out[:, 8:] = np.packbits(rows, axis=1, bitorder="little")
+    return out.tobytes()
+
+
 def _index_bytes(keys: np.ndarray, known: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
     """Index of one shard. keys, known (not null), lengths: of its rows in their order."""
     first = np.flatnonzero(known & np.concatenate([[True], (keys[1:] != keys[:-1]) | ~known[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    runs = np.diff(np.append(first, len(keys))).astype(np.int64)
+    ends = np.append(first[1:], len(keys))
     distinct = keys[first]
     hashed = PerfectHash.build(distinct)
-    slot = hashed.slots(distinct)
-    prints, row, count = np.zeros(len(first), np.uint32), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-    prints[slot], row[slot], count[slot] = fingerprints(distinct), first, runs
-    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    sections = [("starts", starts), ("keys", keys.astype(np.int64)), ("known", np.packbits(known)), ("prints", prints), ("row", row), ("count", count), ("rest", hashed.rest)]
-    sections += [(f"level{i}", np.packbits(x)) for i, x in enumerate(hashed.levels)]
-    head = json.dumps({"width": width, "rows": len(keys), "levels": [len(x) for x in hashed.levels], "sections": [(n, str(a.dtype), len(a)) for n, a in sections]}).encode()
-    return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for _, a in sections)
+    slots = np.zeros(len(first), _SLOT)
+    at = hashed.slots(distinct)
+    slots["print"][at], slots["row"][at], slots["count"][at] = fingerprints(distinct), first, ends - first
+    starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+    parts, base = {}, 0
+    for i, bits in enumerate(hashed.levels):
+        parts[f"level{i}"] = _blocks(bits, base)
+        base += int(bits.sum())
+    parts |= {"rest": hashed.rest.astype("<u8").tobytes(), "slots": slots.tobytes(), "starts": starts.tobytes(), "keys": keys.astype("<i8").tobytes(), "known": np.packbits(known).tobytes()}
+    places, end = {}, _HEAD
+    for name, data in parts.items():
+        places[name] = (end, len(data))
+        end += len(data)
+    head = json.dumps({"width": width, "rows": len(keys), "levels": [len(x) for x in hashed.levels], "alone": base, "places": places}).encode()
+    if len(head) > _HEAD - 12:
+        raise ValueError("the header of an index is too long")
+    return (MAGIC + len(head).to_bytes(4, "little") + head).ljust(_HEAD, b"\0") + b"".join(parts.values())
 
 
 class Shard:
-    """An open shard: its index in memory, its payload read slice by slice."""
+    """An open shard. Only the header of its index is held; everything else is read where it lies."""
 
     def __init__(self, payload: str, index: str):
-        with files.open_read(index) as f:
-            data = f.read()
+        self.index, self.payload = files.open_read(index), files.open_read(payload)
+        data = self.index.read(_HEAD)
         if data[:8] != MAGIC:
             raise ValueError(f"{index} is not an index of token shards")
-        size = int.from_bytes(data[8:12], "little")
-        head, at, part = json.loads(data[12 : 12 + size]), 12 + size, {}
-        for name, kind, n in head["sections"]:
-            part[name] = np.frombuffer(data, kind, n, at)
-            at += part[name].nbytes
-        self.width, self.rows = head["width"], head["rows"]
-        self.starts, self.keys, self.known = part["starts"], part["keys"], np.unpackbits(part["known"], count=self.rows).astype(bool)
-        self.prints, self.row, self.count = part["prints"], part["row"], part["count"]
-        self.hash = PerfectHash([np.unpackbits(part[f"level{i}"], count=n).astype(bool) for i, n in enumerate(head["levels"])], part["rest"])
-        self.payload = files.open_read(payload)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; 0 rows where the stored fingerprint differs."""
-        slot = self.hash.slots(keys)
-        good = slot >= 0
-        good[good] = self.prints[slot[good]] == fingerprints(keys[good])
-        safe = np.where(good, slot, 0)
-        return (np.where(good, self.row[safe], 0), np.where(good, self.count[safe], 0)) if len(self.row) else (np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64))
+        head = json.loads(data[12 : 12 + int.from_bytes(data[8:12], "little")])
+        self.width, self.rows, self.levels, self.alone, self.places = head["width"], head["rows"], head["levels"], head["alone"], head["places"]
+
+    def _read(self, name: str, at: int, size: int) -> bytes:
+        self.index.seek(self.places[name][0] + at)
+        return self.index.read(size)
+
+    def _all(self, name: str, kind) -> np.ndarray:
+        return np.frombuffer(self._read(name, 0, self.places[name][1]), kind)
+
+    def slot(self, key: int) -> int:
+        """The slot of a key that was built in; any slot, or -1, for others."""
+        own = np.array([key], np.int64).astype(np.uint64)
+        for level, size in enumerate(self.levels):
+            place = int(PerfectHash._place(own, level, size)[0])
+            block = self._read(f"level{level}", place // _BLOCK * _BLOCK_BYTES, _BLOCK_BYTES)
+            bits = int.from_bytes(block[8:], "little")
+            if bits >> place % _BLOCK & 1:
+                return int.from_bytes(block[:8], "little") + (bits & (1 << place % _BLOCK) - 1).bit_count()
+        rest = self._all("rest", "<u8")  # keys that met others at every level: hardly ever any
+        at = int(np.searchsorted(rest, own[0]))
+        return self.alone + at if at < len(rest) and rest[at] == own[0] else -1
+
+    def find(self, key: int) -> tuple[int, int]:
+        """First row and number of rows of a key; 0 rows where the stored fingerprint differs."""
+        at = self.slot(key)
+        if at < 0:
+            return 0, 0
+        r = np.frombuffer(self._read("slots", at * _SLOT.itemsize, _SLOT.itemsize), _SLOT)[0]
+        return (int(r["row"]), int(r["count"])) if r["print"] == fingerprints(np.array([key], np.int64))[0] else (0, 0)
 
     def ids(self, row: int) -> np.ndarray:
-        a, b = int(self.starts[row]), int(self.starts[row + 1])
+        a, b = np.frombuffer(self._read("starts", row * 8, 16), "<i8").tolist()
+        return self._ids(a, b)
+
+    def _ids(self, a: int, b: int) -> np.ndarray:
         self.payload.seek(a * self.width)
         return np.frombuffer(self.payload.read((b - a) * self.width), f"<u{self.width}")
 
-
-def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 0, width: int = 2) -> list[dict]:
-    """Write the shards of ``docs``; return one entry a shard, in key order, with ``base``: the ids of all shards before it."""
+    def whole(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Runs of rows with keys, known, starts, lengths and ids. Raises where the hash does not lead to a key's rows."""
+        starts, keys, known = self._all("starts", "<i8"), self._all("keys", "<i8"), np.unpackbits(self._all("known", np.uint8), count=self.rows).astype(bool)
+        slots, levels = self._all("slots", _SLOT), []
+        for i, size in enumerate(self.levels):
+            rows = self._all(f"level{i}", np.uint8).reshape(-1, _BLOCK_BYTES)
+            levels.append(np.unpackbits(rows[:, 8:], axis=1, bitorder="little").ravel()[:size].astype(bool))
+        hashed = PerfectHash(levels, self._all("rest", "<u8"))
+        for x, y in slices(np.diff(starts).tolist(), _RUN):
+            own = np.arange(x, y)
+            at = hashed.slots(keys[own])
+            good = at >= 0
+            found = slots[np.where(good, at, 0)] if len(slots) else np.zeros(len(own), _SLOT)
+            good &= (found["print"] == fingerprints(keys[own])) & (found["row"] <= own) & (own < found["row"] + found["count"])
+            if not (good | ~known[own]).all():
+                raise ValueError("the index does not lead to its keys")
+            data = self._ids(int(starts[x]), int(starts[y]))
+            cuts = starts[x : y + 1] - starts[x]
+            yield keys[own], known[own], starts[x:y], np.diff(cuts), [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 0, width: int | None = None) -> list[dict]:
+    """Write the shards of ``docs``; return one entry a shard, in key order, with ``base``: the ids of all shards before it.
+
+    ``width``: bytes of an id, 2 or 4; by default what the vocabulary needs. Raises where its ids don't fit.
+    """
     spark = docs.sparkSession
     ship(spark)
     path = path or public("byte_bpe_50k.json")
+    most = max(size_of(path) - 1, end_id)
+    width = width or (2 if most < 1 << 16 else 4)
+    if width not in (2, 4) or most >= 1 << 8 * width:
+        raise ValueError(f"ids up to {most} don't fit in {width} bytes")
     folder = fresh(spark, "ids")
     files.make_folder(folder)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
@@ -176,15 +250,20 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
 
 def fetch(manifest: list[dict], keys: list[int]) -> dict[int, list[np.ndarray]]:
-    """Ids of the rows of some keys: a shard by its range of keys, a slot by the hash, a slice of the payload."""
-    out: dict[int, list[np.ndarray]] = {}
-    for m in manifest:
-        own = np.array([k for k in keys if m["least"] is not None and m["least"] <= k <= m["most"]], np.int64)
-        if len(own):
-            s = Shard(f"{m['name']}.ids", f"{m['name']}.idx")
-            for k, first, n in zip(own.tolist(), *s.find(own), strict=True):
-                if n:
-                    out.setdefault(k, []).extend(s.ids(first + i) for i in range(n))
+    """Ids of the rows of some keys: a shard by bisection, a slot by the hash, a slice of the payload."""
+    shards = [m for m in manifest if m["least"] is not None]
+    least, out, opened = [m["least"] for m in shards], {}, {}
+    for k in sorted(set(keys)):
+        i, own = bisect.bisect_right(least, k) - 1, []
+        while i >= 0 and shards[i]["most"] >= k:  # a repeated key can lie in several shards
+            own.append(i)
+            i -= 1
+        for i in reversed(own):
+            if i not in opened:
+                opened = {i: Shard(f"{shards[i]['name']}.ids", f"{shards[i]['name']}.idx")}  # keys ascend: one is open at a time
+            first, n = opened[i].find(k)
+            if n:
+                out.setdefault(k, []).extend(opened[i].ids(first + j) for j in range(n))
     return out
 
 
@@ -194,20 +273,13 @@ def read_back(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in batch.to_pylist():
-                s = Shard(f"{m['name']}.ids", f"{m['name']}.idx")
-                for at in range(0, s.rows, 4096):
-                    own = np.arange(at, min(at + 4096, s.rows))
-                    known = s.known[own]
-                    first, count = s.find(s.keys[own])
-                    if not ((first <= own) & (own < first + count) | ~known).all():
-                        raise ValueError(f"the index of {m['name']} does not lead to its keys")
-                    crc = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in own]
+                for keys, known, starts, lengths, ids in Shard(f"{m['name']}.ids", f"{m['name']}.idx").whole():
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "key": pa.array(s.keys[own], pa.int64(), mask=~known),
-                            "start": pa.array(m["base"] + s.starts[own], pa.int64()),
-                            "n_tokens": pa.array(s.starts[own + 1] - s.starts[own], pa.int64()),
-                            "ids_crc32": pa.array(crc, pa.int64()),
+                            "key": pa.array(keys, pa.int64(), mask=~known),
+                            "start": pa.array(m["base"] + starts, pa.int64()),
+                            "n_tokens": pa.array(lengths, pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                         }
                     )
 

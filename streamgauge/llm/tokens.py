@@ -177,6 +177,14 @@ def encoder(kind: str, path: str):
     return _OPEN[kind, path]
 
 
+def size_of(path: str) -> int:
+    """Number of ids of a vocabulary file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return max([t.get_vocab_size(), *(i + 1 for i in t.get_added_tokens_decoder())])
+
+
 def public(name: str) -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers
