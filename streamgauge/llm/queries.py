@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from .common import kept, table
 
 #: Host and path rules of the URL filter (fixed values).
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Hosts with one of these words in a label are listed (fixed values).
-LISTED = "(^|[.-])(ads|spam|casino|adult|pills|bets)([.-]|$)"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +26,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, F.col("key").rlike(LISTED), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, url_filter.blocked_domains(spark), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _url_sql() -> str:
     rules = sorted(URL_RULES, key=lambda r: -len(r[0]))
     fits = {r: f"((host = '{r[: r.index('/')]}' or host like '%.{r[: r.index('/')]}') and starts_with(path, '{r[r.index('/') :]}'))" for r, _ in rules}
+    domains = ", ".join(f"('{x}')" for x in (Path(url_filter.__file__).parent / "blocked_domains.txt").read_text("utf-8").split("\n") if x and x[0] != "#")
     case = lambda i: "case " + " ".join(f"when {fits[r[0]]} then '{r[i]}'" for r in rules) + " end"
     return f"""with u as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') as h, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
-        v as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from u)
-        select page_id, host, path, {case(0)} as rule, coalesce({case(1)}, case when regexp_matches(host, '{LISTED}') then 'block' else 'allow' end) as verdict from v"""
+        l(domain) as (values {domains}), v as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from u)
+        select page_id, host, path, {case(0)} as rule, coalesce({case(1)}, case when exists (select 1 from l where host = domain or ends_with(host, '.' || domain)) then 'block' else 'allow' end) as verdict from v"""
 
 
 def _warc_sql() -> str:

@@ -1,25 +1,29 @@
 """URL filters by a cascade of Bloom filters (operator 3). DataFrame operations only.
 
-A cascade answers exactly, for every key of a known universe, whether the key is listed. Level 1 holds the listed keys.
-Level 2 holds the keys outside the list that level 1 lets through, level 3 the listed keys that level 2 lets through, and
-so on until a level lets nothing wrong through. A key's answer is the parity of the first level that misses it. The
-universe is every distinct host of the corpus, so no page needs a join.
+A list of domains blocks its hosts and all their subdomains. Which of the corpus's hosts it covers is found once, on the
+distinct hosts, by a hash join of their suffixes with the list. A cascade then answers exactly, for every key of a known
+universe, whether the key is covered. Level 1 holds the covered keys. Level 2 holds the other keys that level 1 lets
+through, level 3 the covered keys that level 2 lets through, and so on until a level lets nothing wrong through. A key's
+answer is the parity of the first level that misses it. The universe is every distinct host of the corpus, so no page
+needs a join.
 
 A filter is an array of 64-bit words, read by tasks as the result of a scalar subquery. Its size follows from the number
-of keys, is computed before it is built, and a cascade is split by key hash into shards of at most ``most_bytes`` bytes,
-which are applied one after another; no size of list makes one task hold more.
+of keys and is computed before it is built. Beyond ``most_bytes`` bytes a cascade is split by key hash into shards; each is
+asked about its own hosts only, and pages take the answers by a join on the host, which Spark can split where it is hot.
 
 Rules come first: host and path prefixes, longest first; a rule covers its host and all subdomains. Null urls and urls
 without ``://`` have an empty host and path, which no rule and no listed key fits: they are allowed. Repeated pages are
-judged each; null page ids stay.
+judged each; null page ids stay; very long urls are taken whole; an empty table gives no rows. Columns of the input named
+host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, kept
@@ -91,22 +95,35 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def judge(pages: DataFrame, listed: DataFrame | Column, rules: list[tuple[str, str]], url: str = "url", most_bytes: int = 16_000_000) -> DataFrame:
-    """``pages`` with host, path, rule and verdict (allow or block).
+def blocked_domains(spark: SparkSession) -> DataFrame:
+    """key: the stored list of domains, one a line; lines that begin with ``#`` are comments."""
+    lines = (Path(__file__).parent / "blocked_domains.txt").read_text("utf-8").splitlines()
+    return spark.createDataFrame([(x.strip(),) for x in lines if x.strip() and x[0] != "#"], "key string").distinct()
 
-    listed: a table with a column ``key`` of hosts to block, or a condition over the column ``key`` of the universe.
-    """
-    own = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+
+def covered(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """key: the hosts of ``hosts`` that a domain of ``listed`` covers, itself or a parent."""
+    parts = F.split("key", "\\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = hosts.where("key <> ''").select("key", F.explode(suffixes).alias("_suffix"))
+    return each.join(listed.select(F.col("key").alias("_suffix")).where("_suffix is not null").distinct(), "_suffix", "left_semi").select("key").distinct()
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url: str = "url", most_bytes: int = 16_000_000) -> DataFrame:
+    """``pages`` with host, path, rule and verdict (allow or block). listed: a table with a column ``key`` of domains to block."""
+    own = pages.withColumns({"_url_host": host_of(F.col(url)), "_url_path": path_of(F.col(url))})
+    own = own.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]).withColumnsRenamed({"_url_host": "host", "_url_path": "path"})
     universe = kept(own.select(F.col("host").alias("key")).distinct(), "cascade-universe")
-    listed = universe.where(listed) if isinstance(listed, Column) else listed.select("key").where("key is not null").distinct()
-    shards = max(1, math.ceil(listed.count() * 6 / most_bytes))  # under 6 bytes a listed key, all levels together
+    inside = kept(covered(universe, listed), "cascade-covered")
+    shards = max(1, math.ceil(inside.count() * 6 / most_bytes))  # under 6 bytes a listed key, all levels together
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    out = own.withColumn("rule", rule).withColumn("verdict", says)
+    out = own.withColumns({"rule": rule, "verdict": says})
     if shards == 1:
-        return out.withColumn("verdict", F.coalesce("verdict", F.when(Cascade(universe, listed).contains(F.col("host")), "block").otherwise("allow")))
-    shard = F.pmod(F.xxhash64("key", F.lit(0)), F.lit(shards))
+        return out.withColumn("verdict", F.coalesce("verdict", F.when(Cascade(universe, inside).contains(F.col("host")), "block").otherwise("allow")))
+    shard, blocked = F.pmod(F.xxhash64("key", F.lit(0)), F.lit(shards)), None
     for i in range(shards):
-        c = Cascade(universe.where(shard == i), listed.where(shard == i))
-        mine = F.pmod(F.xxhash64("host", F.lit(0)), F.lit(shards)) == i
-        out = kept(out.withColumn("verdict", F.coalesce("verdict", F.when(mine, F.when(c.contains(F.col("host")), "block").otherwise("allow")))), "cascade-shard")
-    return out
+        mine = universe.where(shard == i)
+        found = kept(mine.where(Cascade(mine, inside.where(shard == i)).contains(F.col("key"))), "cascade-shard")
+        blocked = found if blocked is None else blocked.unionByName(found)
+    out = out.join(blocked.select(F.col("key").alias("_blocked")), F.col("host") == F.col("_blocked"), "left")
+    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("_blocked").isNotNull(), "block").otherwise("allow"))).drop("_blocked")
