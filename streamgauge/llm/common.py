@@ -1,46 +1,38 @@
 """Helpers shared by the training-data operators: table access, the shared scratch folder, shipping of this package.
 
-Every operator that cuts lineage or writes files does it in one scratch folder. Its place is the session's
-``spark.checkpoint.dir``, which a cluster names and all machines share. Only where that is unset and the master is local
-(tests) a folder of our own is made.
+Every operator that cuts lineage or writes files does it in the scratch folder of ``sources.scratch``.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh as scratch_place
+
 #: The whitespace of word rules: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SHIPPED: dict[str, str] = {}
+_WORK: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """URI of the folder shared by driver and executors, from ``spark.checkpoint.dir``."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="streamgauge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
-
-
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path in the scratch folder."""
-    return f"{scratch(spark).rstrip('/')}/streamgauge/{label}-{uuid.uuid4().hex[:12]}"
+    out = scratch_place(spark, label)
+    for made in _WORK:
+        made.append(out)
+    return out
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
@@ -51,6 +43,20 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def work(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all that was written to the scratch folder within it. What is needed later is written outside it."""
+    made: list[str] = []
+    _WORK.append(made)
+    try:
+        yield
+    finally:
+        _WORK.remove(made)
+        for place in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, wherever the driver was started."""
     sc = spark.sparkContext
@@ -79,6 +85,11 @@ def text_of(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def same_text(c: str) -> Column:
+    """A hash by which rows of one key are told apart; null texts have one too."""
+    return F.xxhash64(F.col(c), F.lit(0))
+
+
 def slices(total: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to ``most`` or hold one element."""
     start = held = 0

@@ -15,8 +15,10 @@ words. Lines are compared as they are without their outer blanks; lines without
 between two deleted lines.
 
 A document all of whose lines are deleted has the text ''. Null texts stay null and take no part; rows with null keys
-stay as they are; rows that repeat a key count as one document with the lines of one of them (the least text), and only
-that row changes. Other columns stay.
+stay as they are. Of rows that repeat a key with different texts, the one with the least hash has the key's place; the
+others are documents that come after all keys, in the order of a hash. Rows that repeat both are one document, and all of
+them change. Very long texts are aligned whole. An empty table gives no rows. Other columns stay, whatever their names, but
+for one named ``_gone``, which is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, kept, ship
+from .common import BLANKS, kept, same_text, ship
 from .keybits import KeyBits
 
 #: Odd factor of the hashes of runs (a fixed value). Equal hashes of unequal runs only add a pair to align.
@@ -212,21 +214,25 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int
     """key, same (hash of the text), gone: the places, among the lines with words, of lines to delete. Only documents with some."""
     ship(docs.sparkSession)
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, f"^[{BLANKS}]+|[{BLANKS}]+$", "")), lambda x: x != "")
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("same"), lines.alias("lines"))
-    rows = rows.select("k", "same", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.size(F.split(x, f"[{BLANKS}]+"))).alias("w")).where("size(h) > 0")
-    held = kept(rows, "lines")
-    once = held.groupBy("k").agg(F.min("same").alias("same"))
-    held = held.join(once, ["k", "same"]).dropDuplicates(["k"])
-    held = held.where(F.aggregate("w", F.lit(0), lambda s, x: s + x) >= least_words).withColumn("lines", F.xxhash64("h"))
-    held = kept(held, "lines-once")
-    # documents with the lines of an earlier one go whole, and the earliest stands for them as a partner
-    leaders = held.groupBy("lines").agg(F.min("k").alias("leader"))
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), same_text(text).alias("same"), lines.alias("lines"))
+    rows = rows.select("key", "same", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.size(F.split(x, f"[{BLANKS}]+"))).alias("w"))
+    held = kept(rows.where("size(h) > 0").where(F.aggregate("w", F.lit(0), lambda s, x: s + x) >= least_words).withColumn("lines", F.xxhash64("h")), "lines")
+    odd = kept(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("first")).where("n > 1").select("key", "first"), "lines-odd")
+    if odd.take(1):
+        late = F.col("first").isNotNull() & (F.col("same") != F.col("first"))
+        k = F.when(late, F.lit(1 << 62) + F.pmod(F.xxhash64("key", "same"), F.lit(1 << 61))).otherwise(F.col("key"))
+        held = kept(held.dropDuplicates(["key", "same"]).join(odd, "key", "left").withColumn("k", k).drop("first"), "lines-once")
+    else:
+        held = held.withColumn("k", F.col("key"))
+    # documents with the lines of an earlier one go whole, and the earliest stands for them as a partner; stored, like the
+    # counts below, so that the join can split a value that a large share of all rows has
+    leaders = kept(held.groupBy("lines").agg(F.min("k").alias("leader")), "lines-leaders")
     ranked = held.join(leaders, "lines")
     copies = ranked.where("k > leader").select("k", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("i"))
     heads = kept(ranked.where("k = leader").select("k", "h", "w"), "lines-heads")
     runs = kept(_run_rows(heads, least_words), "lines-runs")
     each = runs.select("run", "k").distinct()
-    counts = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).where("n > 1")
+    counts = kept(each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).where("n > 1"), "lines-counts")
     shared = kept(each.join(counts, "run"), "lines-shared")
     ordered = shared.where(F.col("n") <= rare).groupBy("run").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most ``rare`` keys
     pairs = ordered.select(F.explode(F.expr("flatten(transform(sequence(1, size(ks) - 1), j -> transform(slice(ks, 1, j), a -> struct(a as a, ks[j] as b))))")).alias("p")).select("p.a", "p.b")
@@ -236,7 +242,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int
     gone = kept(_aligned(done, heads, least_words), "lines-aligned")
     gone = _rest(runs, many, heads, done, gone, least_words)
     gone = gone.unionByName(copies).groupBy("k").agg(F.sort_array(F.collect_set("i")).alias("gone"))
-    return gone.join(held.select("k", "same"), "k")
+    return gone.join(held.select("k", "key", "same"), "k").select("key", "same", "gone")
 
 
 def _rest(runs: DataFrame, many: DataFrame, heads: DataFrame, done: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
@@ -265,29 +271,38 @@ def _rest(runs: DataFrame, many: DataFrame, heads: DataFrame, done: DataFrame, g
     return gone
 
 
-def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 16, least_words: int = 20, length_column: str | None = "n_chars") -> DataFrame:
+def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 16, least_words: int = 20, length_column: str | None = "n_chars", least_left: float = 0.0) -> DataFrame:
     """``docs`` with the common blocks cut from the later documents, and ``_gone``: the number of lines cut.
 
+    Documents that lost lines, and of whose words less than the share ``least_left`` is left, go as a whole.
+
     A bitmap of the keys with lines to cut picks the documents to join; the texts of all others are not shuffled.
     """
-    gone = kept(removals(docs, key, text, rare, least_words), "lines-gone").select(F.col("k").alias("_k"), F.col("same").alias("_same"), F.col("gone").alias("_places"))
-    may = KeyBits(gone, "_k").column(F.col(key).cast("long"))
-    joined = docs.where(may).join(gone, (F.col(key).cast("long") == F.col("_k")) & (F.xxhash64(text) == F.col("_same")), "left")
+    gone = kept(removals(docs, key, text, rare, least_words), "lines-gone")
+    own = docs.select(F.struct("*").alias("_own"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    may = KeyBits(gone, "key").column(F.col("_key"))
+    found = gone.select(F.col("key").alias("_k"), F.col("same").alias("_same"), F.col("gone").alias("_places"))
+    joined = own.where(may).join(found, (F.col("_key") == F.col("_k")) & (same_text("_text") == F.col("_same")), "left")
     wordy = f"x rlike '[^{BLANKS}]'".replace("\\", "\\\\")
     # _at: the line of each place; _off: lines to delete, with blank lines between two neighbouring places
-    out = joined.withColumn("_lines", F.when(F.col("_places").isNotNull(), F.split(text, "\n", -1)))
+    out = joined.withColumn("_lines", F.when(F.col("_places").isNotNull(), F.split("_text", "\n", -1)))
     out = out.withColumn("_at", F.expr(f"filter(transform(_lines, (x, i) -> if({wordy}, i, -1)), i -> i >= 0)"))
     out = out.withColumn("_off", F.expr("flatten(transform(_places, (p, j) -> if(j + 1 < size(_places) and _places[j + 1] = p + 1, sequence(_at[p], _at[p + 1] - 1), array(_at[p]))))"))
     rest = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _off), i -> _lines[i]), '\n')")
-    out = out.withColumn("_new", F.when(F.col("_places").isNotNull(), rest).otherwise(F.col(text)))
-    out = out.withColumn("_gone", F.coalesce(F.size("_places"), F.lit(0)).cast("int")).withColumn("_gone", F.greatest("_gone", F.lit(0)))
+    out = out.withColumn("_new", F.when(F.col("_places").isNotNull(), rest).otherwise(F.col("_text")))
+    n_gone = F.greatest(F.coalesce(F.size("_places"), F.lit(0)).cast("int"), F.lit(0))
+    names = [c for c in docs.columns if c != "_gone"]
     columns = []
-    for c in docs.columns:
+    for c in names:
+        old = F.col("_own").getField(c)
         if c == text:
             columns.append(F.col("_new").alias(text))
         elif c == length_column:
-            columns.append(F.when(F.col("_places").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("_places").isNotNull(), F.length("_new")).otherwise(old).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(c))
-    rest_of = docs.where(~may).select("*", F.lit(0).alias("_gone"))
-    return out.select(*columns, "_gone").unionByName(rest_of)
+            columns.append(old.alias(c))
+    untouched = own.where(~may).select(*[F.col("_own").getField(c).alias(c) for c in names], F.lit(0).alias("_gone"))
+    if least_left > 0:
+        words = lambda c: F.size(F.regexp_extract_all(c, F.lit(f"[^{BLANKS}]+"), F.lit(0)))
+        out = out.where(F.col("_places").isNull() | (words(F.col("_new")) >= least_left * words(F.col("_text"))))
+    return out.select(*columns, n_gone.alias("_gone")).unionByName(untouched)
