@@ -11,16 +11,19 @@ connect; copies are one set and are never expanded into pairs.
    index: linked sets share one of them. Order and index are exact whatever the floor is.
 3. First, within each index list the set with the fewest light shingles leads, and is compared with the others only.
    Its verified links join most of any group of near copies at once, and its overlaps are answers that others reuse.
-4. Then all pairs of a list whose sets are not in one component yet are taken. Lists are sorted by size and position:
-   blocks of one component are skipped whole, an entry is left as soon as sizes drift apart, and pairs are skipped where
-   the positions leave too few shingles to share.
+4. Then the pairs of a list whose sets are not in one component yet are taken. Lists are sorted by size and position and cut
+   into blocks. Two blocks are skipped whole, in one step, where all their sets are in one component, where their sizes
+   are too far apart, or where their positions leave too few shingles to share; a block is left for good once sizes have
+   drifted apart. Pairs of what is left pass the same tests one by one, some blocks at a time, so that memory is bounded.
 5. For a pair with a common leader the leader's answers decide first: with the leader's overlaps known, the pair's overlap
    is at least ``o(l,a) + o(l,b) - n(l)`` and at most ``min(o(l,a) + n(b) - o(l,b), o(l,b) + n(a) - o(l,a))``. Parity
    bitmaps then rule pairs out exactly (each bit that differs is a shingle that differs). What is left is compared
    shingle by shingle.
 
 Empty sets (null or word-less texts) link with nothing. Equal sets, repeated rows and repeated or null keys are fine: a
-class takes its least key; a class without any key has null. Distinct shingles are told apart by 64 bits.
+class takes its least key; a class without any key has null. Very long texts are hashed whole. An empty table gives no rows.
+Only the key and the text are read, and ``one_of_each`` keeps all columns, whatever their names. Distinct shingles are told
+apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, parts, ship, text_of
+from .common import kept, parts, same_text, ship, text_of
 from .components import components
 from .keybits import KeyBits
 from .wordhash import mix, shingle_hashes, word_hashes
 
 _BITS = 40
+#: Entries of a block of an index list, and pairs of blocks that are opened at a time.
+_BLOCK, _OPENED = 64, 256
 _FLUSH = 2_000_000
 
 
@@ -82,11 +87,55 @@ def _unblock(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data[4 + 2 * n :]), "<u4").astype(np.uint64) << np.uint64(16) | low, dtype=np.uint64)
 
 
+def _pairs(c: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Node ids and sizes of the pairs, in parts, of rows sorted by list, size and position. Blocks do not span lists."""
+    size = len(c["node"])
+    if not size:
+        return
+    n, pos, root = c["n"].astype(np.int64), c["pos"].astype(np.int64), c["root"]
+    first = np.flatnonzero(np.concatenate([[True], c["shingle"][1:] != c["shingle"][:-1]]))
+    long = np.diff(np.append(first, size))
+    several = long > 1
+    per = -(-long // _BLOCK)
+    of = np.repeat(np.arange(len(first)), per)  # the list of each block
+    turn = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+    start = first[of] + turn * _BLOCK
+    end = np.minimum(start + _BLOCK, (first + long)[of])
+    low_root, high_root = np.minimum.reduceat(root, start), np.maximum.reduceat(root, start)
+    least, most = n[start], n[end - 1]
+    left = np.maximum.reduceat(n - pos, start)  # shingles from the shared one on, at best
+    need = lambda a, b: -(-num * (a + b) // (num + den))
+    live, k = np.flatnonzero(several[of]), 0
+    while len(live):
+        live = live[live + k < len(of)]
+        other = live + k
+        stay = (of[live] == of[other]) & (most[live] * den >= least[other] * num)
+        live, other = live[stay], other[stay]
+        one = (low_root[live] == high_root[live]) & (low_root[other] == high_root[other]) & (low_root[live] == low_root[other])
+        open_ = ~one & (np.minimum(left[live], left[other]) >= need(least[live], least[other]))
+        x, y = live[open_], other[open_]
+        for at in range(0, len(x), _OPENED):
+            p, q = x[at : at + _OPENED], y[at : at + _OPENED]
+            i = (start[p][:, None, None] + np.arange(_BLOCK)[None, :, None]) + np.zeros((1, 1, _BLOCK), np.int64)
+            j = (start[q][:, None, None] + np.arange(_BLOCK)[None, None, :]) + np.zeros((1, _BLOCK, 1), np.int64)
+            good = (i < end[p][:, None, None]) & (j < end[q][:, None, None]) & (i < j)
+            i, j = i[good], j[good]
+            good = (root[i] != root[j]) & (n[i] * den >= n[j] * num)
+            i, j = i[good], j[good]
+            good = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need(n[i], n[j])
+            i, j = i[good], j[good]
+            swap = c["node"][i] > c["node"][j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            if len(i):
+                yield c["node"][i], c["node"][j], c["n"][i], c["n"][j]
+        k += 1
+
+
 class Join:
     def __init__(self, docs: DataFrame, key: str, text: str, size: int, num: int, den: int, heavy: int = 64, most_heavy: int = 4_000_000):
         self.spark: SparkSession = docs.sparkSession
         ship(self.spark)
-        self.docs = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
+        self.docs = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"), same_text(text).alias("same"))
         self.size, self.num, self.den, self.heavy, self.most_heavy = size, num, den, heavy, most_heavy
         self.n_parts = max(parts(docs), 1)
 
@@ -95,7 +144,7 @@ class Join:
         return F.expr(f"({self.num}L * ({a} + {b}) + {self.num + self.den - 1}L) div {self.num + self.den}L")
 
     def scan(self) -> DataFrame:
-        """Pass 1: a row a document (kind 0: key, node, n), a row a new set (kind 1: node, n, sketch), blocks of shingles (kind 2)."""
+        """Pass 1: a row a document (kind 0: key, node, n, same), a row a new set (kind 1: node, n, sketch), blocks of shingles (kind 2)."""
         size, n_parts = self.size, self.n_parts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,21 +158,21 @@ class Join:
                 values = np.sort(np.concatenate(waiting) >> np.uint64(64 - _BITS))
                 borders = np.searchsorted(values, np.array([(i << _BITS) // n_parts for i in range(n_parts + 1)], np.uint64))
                 waiting.clear()
-                return [(2, None, i, None, _block(values[a:b])) for i, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)) if b > a]
+                return [(2, None, i, None, _block(values[a:b]), None) for i, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)) if b > a]
 
             def out(rows: list[tuple]) -> pa.RecordBatch:
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "node", "n", "data"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "node", "n", "data", "same"])
 
             for batch in batches:
                 rows = []
-                for k, x in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                for k, x, same in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("same").to_pylist(), strict=True):
                     shingles = _set_of(x.as_py(), size)
                     node = _node(shingles)
-                    rows.append((0, k, node, len(shingles), None))
+                    rows.append((0, k, node, len(shingles), None, same))
                     if len(shingles) and node not in seen:
                         seen.add(node)
-                        rows.append((1, None, node, len(shingles), _parity(shingles)))
+                        rows.append((1, None, node, len(shingles), _parity(shingles), None))
                         waiting.append(shingles)
                         held += len(shingles)
                         if held >= _FLUSH:
@@ -134,7 +183,7 @@ class Join:
             if rows := flush():
                 yield out(rows)
 
-        return self.docs.mapInArrow(run, "kind int, key long, node long, n long, data binary")
+        return self.docs.mapInArrow(run, "kind int, key long, node long, n long, data binary, same long")
 
     def heavies(self, scanned: DataFrame) -> np.ndarray:
         """40-bit hashes of heavy shingles, ascending; at most ``most_heavy``."""
@@ -183,7 +232,7 @@ class Join:
                         names=["shingle", "node", "n", "pos", "light"],
                     )
 
-        return self.docs.mapInArrow(run, "shingle long, node long, n int, pos int, light int")
+        return self.docs.select("text").mapInArrow(run, "shingle long, node long, n int, pos int, light int")
 
     def led(self, postings: DataFrame) -> DataFrame:
         """Index lists of two sets and more (kind 1) and pairs of each list's leader with its other sets (kind 0).
@@ -245,34 +294,12 @@ class Join:
     def crossed(self, lists: DataFrame) -> DataFrame:
         """Pairs of each list whose sets lie in different components. lists: shingle, node, n, pos, root."""
         num, den, most = self.num, self.den, 400_000
-
-        def pairs(c: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-            """All pairs (i, i + k) of rows sorted by list and size; an entry is left once sizes drift apart."""
-            size = len(c["node"])
-            first = np.flatnonzero(np.concatenate([[True], c["shingle"][1:] != c["shingle"][:-1]])) if size else np.zeros(0, np.int64)
-            if not size:
-                return c["node"], c["node"], c["n"], c["n"]
-            one = np.minimum.reduceat(c["root"], first) == np.maximum.reduceat(c["root"], first)
-            live = np.flatnonzero(~np.repeat(one, np.diff(np.append(first, size))))
-            n, out, k = c["n"].astype(np.int64), [], 1
-            while len(live):
-                live = live[live + k < size]
-                other = live + k
-                stay = (c["shingle"][live] == c["shingle"][other]) & (n[live] * den >= n[other] * num)
-                live, other = live[stay], other[stay]
-                need = -(-num * (n[live] + n[other]) // (num + den))
-                good = (c["root"][live] != c["root"][other]) & (1 + np.minimum(n[live] - c["pos"][live] - 1, n[other] - c["pos"][other] - 1) >= need)
-                out.append((live[good], other[good]))
-                k += 1
-            i, j = (np.concatenate([o[x] for o in out]) if out else np.zeros(0, np.int64) for x in (0, 1))
-            swap = c["node"][i] > c["node"][j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            return c["node"][i], c["node"][j], c["n"][i], c["n"][j]
+        pairs = lambda c: _pairs(c, num, den)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ("shingle", "node", "n", "pos", "root")
             held: list[dict[str, np.ndarray]] = []
-            count = 0
+            count, limit = 0, most
 
             def done(last: bool) -> Iterator[pa.RecordBatch]:
                 nonlocal held, count
@@ -283,20 +310,21 @@ class Join:
                 if not end:
                     held = [c]
                     return
-                a, b, na, nb = pairs({k: v[:end] for k, v in c.items()})
                 held = [{k: v[end:] for k, v in c.items()}]
                 count = len(held[0]["node"])
-                for x in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[x : x + 100_000]) for v in (a, b, na, nb)], names=["a", "b", "na", "nb"])
+                for found in pairs({k: v[:end] for k, v in c.items()}):
+                    for x in range(0, len(found[0]), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(v[x : x + 100_000]) for v in found], names=["a", "b", "na", "nb"])
 
             for batch in batches:
                 held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
                 count += batch.num_rows
-                if count >= most:
+                if count >= limit:
                     yield from done(False)
+                    limit = max(most, 2 * count)  # a list that goes on is joined up only when it has doubled
             yield from done(True)
 
-        return lists.repartition(self.n_parts, "shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, "a long, b long, na int, nb int")
+        return lists.repartition(self.n_parts, "shingle").sortWithinPartitions("shingle", "n", "pos", "node").mapInArrow(run, "a long, b long, na int, nb int")
 
     def plausible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs that parity bitmaps do not rule out."""
@@ -330,7 +358,7 @@ class Join:
                         rows.append((_node(shingles), shingles.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "data"])
 
-        return kept(self.docs.mapInArrow(run, "node long, data binary").join(nodes, "node", "left_semi"), "setjoin-sets")
+        return kept(self.docs.select("key", "text").mapInArrow(run, "node long, data binary").join(nodes, "node", "left_semi"), "setjoin-sets")
 
     def verified(self, pairs: DataFrame, scanned: DataFrame) -> DataFrame:
         """The exact overlap of each pair: a, b, na, nb, o."""
@@ -359,7 +387,7 @@ class Join:
         return both.select("a", "b", "na", "nb", F.when(same, F.expr("oa + ob - nla")).alias("low"), F.when(same, F.expr("least(oa + nb - ob, ob + na - oa)")).alias("high"))
 
     def labels(self) -> DataFrame:
-        """A row a document: key, n, component."""
+        """A row a document: key, same (hash of its text), n, component, stays (whether it is the first of its class, by key and then text)."""
         scanned = kept(self.scan(), "setjoin-scan")
         led = kept(self.led(self.postings(self.heavies(scanned))), "setjoin-lists")
         sketches = scanned.where("kind = 1").select("node", "data").dropDuplicates(["node"])
@@ -378,11 +406,15 @@ class Join:
         root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
         joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         upper = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        docs = scanned.where("kind = 0").select("key", "node", "n")
-        own = docs.where("n > 0").join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
-        own = kept(own.join(upper, "root", "left").select("key", "n", F.coalesce("top", "root").alias("top")), "setjoin-tops")
-        least = own.groupBy("top").agg(F.min("key").alias("component"))
-        return own.join(least, "top").select("key", "n", "component").unionByName(docs.where("n = 0").select("key", "n", F.col("key").alias("component")))
+        docs = scanned.where("kind = 0").select("key", "same", "node", "n")
+        own = docs.where("n > 0").join(roots, "node", "left").select("key", "same", "n", F.coalesce("root", "node").alias("root"))
+        own = kept(own.join(upper, "root", "left").select("key", "same", "n", F.coalesce("top", "root").alias("top")), "setjoin-tops")
+        # stored, so that the join can split a class that holds a large share of all rows
+        first = F.min(F.struct(F.col("key").isNull().alias("without"), "key", "same"))
+        least = kept(own.groupBy("top").agg(F.min("key").alias("component"), first.alias("first")), "setjoin-least")
+        stays = (F.col("first.key").eqNullSafe(F.col("key"))) & (F.col("first.same") == F.col("same"))
+        alone = docs.where("n = 0").select("key", "same", "n", F.col("key").alias("component"), F.lit(True).alias("stays"))
+        return own.join(least, "top").select("key", "same", "n", "component", stays.alias("stays")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 4, den: int = 5, heavy: int = 64, most_heavy: int = 4_000_000) -> DataFrame:
@@ -391,11 +423,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: that of the least key. Rows that share that key stay together.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 4, den: int = 5, heavy: int = 64, most_heavy: int = 4_000_000) -> DataFrame:
+    """``docs`` with one document of each class: that of the least key, of equal keys that with the least hash of its text.
 
-    Documents without words or without a key all stay. A key is dropped where any of its rows is of a class with a lesser key.
+    Rows are told apart by key and text, so a key that repeats with unrelated texts loses only those that are copies. Rows
+    without a key count after all others; rows that repeat both key and text are one document, of which one row stays.
+    Documents without words all stay.
     """
-    found = near_duplicates(docs, key, text, **options)
-    gone = found.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    found = kept(Join(docs, key, text, size, num, den, heavy, most_heavy).labels(), "setjoin-labels")
+    gone = found.where("not stays").select(F.col("key").alias("_gone_key"), F.col("same").alias("_gone_same")).distinct()
+    own = docs.select(F.struct("*").alias("_own"), F.col(key).cast("long").alias("_key"), same_text(text).alias("_same"))
+    left = own.join(gone, F.col("_key").eqNullSafe(F.col("_gone_key")) & (F.col("_same") == F.col("_gone_same")), "left_anti")
+    twice = kept(found.where("stays and n > 0").groupBy("key", "same").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("_twice_key"), F.col("same").alias("_twice_same")), "setjoin-twice")
+    if twice.take(1):
+        again = F.col("_key").eqNullSafe(F.col("_twice_key")) & (F.col("_same") == F.col("_twice_same"))
+        left = left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["_key", "_same"]))
+    return left.select("_own.*")
