@@ -77,6 +77,26 @@ def test_token_store_round_trip(spark):
     assert token_store.read_back(spark, token_store.write(d.limit(0))).count() == 0
 
 
+def test_token_store_look_ups_read_little(spark):
+    rows = [(i * i - 500, f"text {i}") for i in range(300)] + [(7, "a"), (7, "b"), (7, "b"), (None, "c"), (8, None)]
+    m = token_store.write(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int"))
+    t = tokens.encoder("byte", tokens.public("byte_bpe_50k.json")).tokenizer
+    want = {}
+    for k, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], str(r[1]))):
+        want.setdefault(k, []).append([*t.encode(x or "", add_special_tokens=False).ids, 0])
+    got = token_store.fetch(m, [*want, 12345, -10**12])
+    assert {k: sorted(x.tolist() for x in v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    big = max(m, key=lambda x: x["n_docs"])
+    shard, sizes = token_store.Shard(f"{big['name']}.ids", f"{big['name']}.idx"), []
+    shard._read = lambda name, at, size, read=shard._read: sizes.append(size) or read(name, at, size)
+    shard.find(big["most"])
+    assert sum(sizes) < 72 * 12 + 20
+    with pytest.raises(ValueError):
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), end_id=70_000, width=2)
+    wide = token_store.write(spark.createDataFrame(rows[:3], "doc_id long, text string"), end_id=70_000)
+    assert token_store.fetch(wide, [-500])[-500][0].tolist()[-1] == 70_000
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
     assert sorted(token_store.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(np.unique(keys))))
@@ -138,6 +158,33 @@ def test_automaton_equals_brute_force():
             assert (len(hit), int(hit.sum()), found) == brute_hits(items, text, window)
 
 
+def test_report_equals_brute_force(spark):
+    d, b = docs(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in b.collect()] + [(900, "one two"), (901, None), (902, ""), (903, "ONE two")]
+    rows = [(r.doc_id, r.text) for r in d.limit(60).collect()] + [(5000, items[0][1] + " zz"), (5001, "so One, two."), (5002, None), (5002, ""), (5003, " ".join(["x"] * 60_000) + " one two")]
+    rows += [(6000 + i, t) for i, (_, t) in enumerate(items[:25])]
+    bench, table_ = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = defaultdict(set)
+    for i, t in items:
+        q = find(t)
+        k = min(10, len(q))
+        for s_ in range(len(q) - k + 1 if q else 0):
+            windows[tuple(q[s_ : s_ + k])].add(i)
+    want = []
+    for k, t in rows:
+        w, hit, found = find(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[a : a + n])):
+                    hit |= set(range(a, a + n))
+                    found |= own
+        want.append((k, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
+    for block in (40, 2_000_000):
+        assert sorted(map(tuple, decontam.report(table_, bench, block_words=block).collect())) == sorted(want)
+    assert decontam.report(table_.limit(0), bench).count() == 0 and decontam.report(table_, bench.limit(0)).where("contaminated").count() == 0
+
+
 def test_decontaminate_cuts_and_keeps(spark):
     d, b = docs(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     before, after = decontam.report(d, b).where("contaminated").count(), decontam.decontaminate(d, b)
@@ -186,6 +233,47 @@ def test_set_join_equals_brute_force(spark):
     assert setjoin.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("heavy,most", [(4, 4_000_000), (2, 2)])
+def test_set_join_of_hot_groups(spark, heavy, most):
+    r, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(60)] = f"q{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[i % 3][1]) for i in range(150)] + [(400 + i, " ".join(["the of and"] * 5 + [f"z{i} y{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in setjoin.near_duplicates(df, size=3, num=4, den=5, heavy=heavy, most_heavy=most).collect()), key=str)
+    assert got == brute_classes(rows, 3, 4, 5)
+
+
+def test_pairs_of_index_lists_equal_all_pairs():
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        rows = []
+        for sh in range(r.integers(1, 4)):
+            m, roots = int(r.integers(1, 200)), int(r.integers(1, 6))
+            rows += [(sh, int(n), int(p), int(k), int(k) % roots) for n, p, k in zip(r.integers(5, 60, m), r.integers(0, 5, m), r.choice(10**6, m, replace=False))]
+        rows.sort()
+        c = {k: np.array([x[i] for x in rows]) for i, k in enumerate(("shingle", "n", "pos", "node", "root"))}
+        want = []
+        for x, y in combinations(rows, 2):
+            need = -(-85 * (x[1] + y[1]) // 185)
+            if x[0] == y[0] and x[4] != y[4] and min(x[1], y[1]) * 100 >= max(x[1], y[1]) * 85 and min(x[1] - x[2], y[1] - y[2]) >= need:
+                want.append((min(x[3], y[3]), max(x[3], y[3])))
+        assert sorted((int(a), int(b)) for part in setjoin._pairs(c, 85, 100) for a, b in zip(part[0], part[1])) == sorted(want)
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b), (None, a), (None, "unlike"), (None, None), (4, "c d e"), (4, "c d e"), (5, ""), (5, ""), (6, None)]
+    df = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, `_gone_key` int, `_key` string")
+    left = setjoin.one_of_each(df)
+    assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (2, b), (None, "unlike"), (None, None), (4, "c d e"), (5, ""), (5, ""), (6, None)], key=str)
+    assert setjoin.one_of_each(df.limit(0)).count() == 0
+
+
 def test_word_hashes_tell_words_apart():
     from streamgauge.llm.wordhash import word_hashes
 
@@ -249,13 +337,29 @@ def test_quality_keeps_good_documents(spark):
 
 
 def test_cascade_is_exact(spark):
-    pages = spark.range(3000).select(F.concat(F.lit("http://H"), "id", F.lit(".x/p?q")).alias("url"))
-    for most in (16_000_000, 4_000):
-        out = url_filter.judge(pages, F.col("key").rlike("[37]"), [], most_bytes=most)
-        assert out.where("(verdict = 'block') <> (host rlike '[37]')").count() == 0
-    odd = url_filter.judge(spark.createDataFrame([(None,), ("no host",), ("a://B.c:80/x#y",)], "url string"), F.lit(False), [("c:80/x", "block")])
-    assert sorted((r.host, r.path, r.rule, r.verdict) for r in odd.collect() if r.rule is None) == [("", "", None, "allow")] * 2
+    pages = spark.range(3000).select(F.concat(F.lit("http://w.H"), "id", F.lit(".x/p?q")).alias("url"), F.lit("old").alias("host"), F.lit(1).alias("odd"))
+    listed = spark.createDataFrame([(f"h{i}.x",) for i in range(0, 3000, 7)] + [("H1.x",), (None,), ("h2",), ("x.h3.x",)], "key string")
+    for most in (16_000_000, 400):
+        out = url_filter.judge(pages, listed, [], most_bytes=most)
+        assert out.columns == ["url", "odd", "host", "path", "rule", "verdict"] and out.count() == 3000
+        assert out.where("(verdict = 'block') <> (cast(regexp_extract(host, '[0-9]+', 0) as int) % 7 = 0)").count() == 0
+    odd = url_filter.judge(spark.createDataFrame([(None,), ("no host",), ("a://B.c:80/x#y",), ("a://" + "q." * 3000 + "h7.x/" + "z" * 9000,), ("a://h7.x",), ("a://h7.x",)], "url string"), listed, [("c:80/x", "block")])
+    assert sorted(r.verdict for r in odd.where("rule is null").collect()) == ["allow"] * 2 + ["block"] * 3
     assert odd.where("rule is not null").first().host == "b.c:80"
+    assert url_filter.judge(pages.limit(0), listed, []).count() == 0 and url_filter.judge(pages, listed.limit(0), []).where("verdict = 'block'").count() == 0
+
+
+def test_cascade_levels_decide(spark):
+    hosts = spark.createDataFrame([(f"k{i}",) for i in range(400)], "key string")
+    c = url_filter.Cascade(hosts, hosts.where("key like '%3'"))
+    assert len(c.levels) > 1 and hosts.where(c.contains(F.col("key")) != F.col("key").like("%3")).count() == 0
+    c.levels = c.levels[:1]
+    assert hosts.where(c.contains(F.col("key")) & ~F.col("key").like("%3")).count() > 0
+
+
+def test_blocked_domains_block_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert url_filter.judge(pages, url_filter.blocked_domains(spark), []).where("verdict = 'block'").count() > 0
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -328,29 +432,90 @@ def test_patience():
     assert line_dedup.patience([5, 1, 2, 6], [7, 1, 2, 8]) == [(1, 1), (2, 2)]
 
 
+def plain_patience(a, b, words):
+    """Patience alignment written again, by recursion: equal ends, unique common lines in their longest rising order, else the heaviest common run."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_patience(a[1:], b[1:], words[1:])]
+    if a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1], words[:-1]), (len(a) - 1, len(b) - 1)]
+    both = [(a.index(x), b.index(x)) for x in a if a.count(x) == 1 and b.count(x) == 1]
+    best = [[(p, q)] for p, q in both]
+    for i, (_, q) in enumerate(both):
+        longer = [best[k] for k in reversed(range(i)) if both[k][1] < q]  # of equally long ones the last
+        if longer:
+            best[i] = max(longer, key=len) + best[i]
+    chain = max(reversed(best), key=len, default=[])
+    if not chain:
+        runs = [(sum(words[j : j + n]), -j - n, i, j, n) for i in range(len(a)) for j in range(len(b)) for n in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + n] == b[j : j + n]]
+        if not runs:
+            return []
+        _, _, i, j, n = max(runs, key=lambda r: (r[0], r[1], -r[2]))
+        chain = [(i + k, j + k) for k in range(n)]
+    out, i, j = [], 0, 0
+    for p, q in [*chain, (len(a), len(b))]:
+        out += [(x + i, y + j) for x, y in plain_patience(a[i:p], b[j:q], words[j:q])] + ([(p, q)] if p < len(a) else [])
+        i, j = p + 1, q + 1
+    return out
+
+
+def plain_gone(a, b, words, least):
+    """Places of ``b`` in aligned runs, without a gap on either side, of enough words."""
+    pairs, gone = sorted(plain_patience(a, b, words)), set()
+    at = 0
+    while at < len(pairs):
+        end = at + 1
+        while end < len(pairs) and pairs[end] == (pairs[end - 1][0] + 1, pairs[end - 1][1] + 1):
+            end += 1
+        if sum(words[j] for _, j in pairs[at:end]) >= least:
+            gone |= {j for _, j in pairs[at:end]}
+        at = end
+    return gone
+
+
+def plain_line_dedup(rows, least=20):
+    """rows: (key, text) of distinct keys. Text and number of lines cut, by aligning all pairs."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    lines = {k: [strip(x) for x in (t or "").split("\n") if strip(x)] for k, t in rows}
+    heads, out = {}, {}
+    for k, t in sorted(rows):
+        own, words = lines[k], [len(WORD.findall(x)) for x in lines[k]]
+        gone = set()
+        if sum(words) >= least:
+            if tuple(own) in heads:
+                gone = set(range(len(own)))
+            else:
+                for other in heads:
+                    if set(other) & set(own):
+                        gone |= plain_gone(list(other), own, words, least)
+                heads[tuple(own)] = k
+        left, i = [], -1
+        for x in (t or "").split("\n"):
+            wordy = bool(strip(x))
+            i += wordy
+            if not (i in gone and (wordy or i + 1 in gone)):
+                left.append(x)
+        out[k] = ("\n".join(left) if gone else t, len(gone))
+    return out
+
+
 def test_line_dedup_equals_brute_force(spark):
     d = docs(spark)
-    text = {r.doc_id: r.text for r in d.collect()}
-    strip = lambda s: s.strip(" \t\n\x0b\x0c\r")
-    lines = {k: [strip(x) for x in t.split("\n") if strip(x)] for k, t in text.items()}
-    held = defaultdict(list)
-    for k in sorted(lines):
-        for x in dict.fromkeys(lines[k]):
-            held[x].append(k)
-    pairs = set()
-    for ks in held.values():
-        pairs |= set(combinations(ks, 2)) if len(ks) <= 3 else {(ks[0], k) for k in ks[1:]} | set(zip(ks, ks[1:]))
-    gone = defaultdict(set)
-    for a, b in pairs:
-        gone[b].update(line_dedup.common_blocks(lines[a], lines[b], [len(WORD.findall(x)) for x in lines[b]], 20))
+    want = plain_line_dedup([(r.doc_id, r.text) for r in d.collect()])
+    assert sum(n for _, n in want.values()) > 0
     for r in line_dedup.without_common_lines(d, rare=3).collect():
-        out, i = [], -1
-        for x in text[r.doc_id].split("\n"):
-            wordy = bool(strip(x))
-            i += wordy
-            if not (i in gone[r.doc_id] and (wordy or i + 1 in gone[r.doc_id])):
-                out.append(x)
-        assert r.text == "\n".join(out) and r._gone == len(gone[r.doc_id]) and r.n_chars == (len(r.text) if r._gone else r.n_chars)
+        assert (r.text, r._gone) == want[r.doc_id] and r.n_chars == (len(r.text) if r._gone else r.n_chars)
+
+
+def test_line_dedup_of_random_lines_equals_brute_force(spark):
+    r = random.Random(12)
+    pool = [" ".join(f"p{i}w{j}" for j in range(r.randint(3, 12))) for i in range(9)]
+    rows = [(i, "\n".join(r.choice([*pool, "", " ", f"own {i}"]) for _ in range(r.randint(0, 9)))) for i in range(120)] + [(500, None), (501, "")]
+    want = plain_line_dedup(rows)
+    for rare in (2, 16):
+        got = {x.doc_id: (x.text, x._gone) for x in line_dedup.without_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+        assert got == want
 
 
 def test_passages_repeated_in_a_document_are_aligned():
@@ -369,14 +534,6 @@ def test_passages_repeated_in_a_document_are_aligned():
         assert bool(found) == bool(set(a) & set(b))
 
 
-def all_pairs_gone(rows, least_words=20):
-    lines = {k: t.split("\n") for k, t in rows}
-    gone = defaultdict(set)
-    for a, b in combinations(sorted(lines), 2):
-        gone[b].update(line_dedup.common_blocks(lines[a], lines[b], [len(x.split()) for x in lines[b]], least_words))
-    return {k: len(v) for k, v in gone.items() if v}
-
-
 @pytest.mark.parametrize("rare", [2, 16])
 def test_line_dedup_of_frequent_lines_equals_all_pairs(spark, rare):
     frequent = [" ".join(f"f{i}w{j}" for j in range(15)) for i in range(4)]
@@ -387,11 +544,19 @@ def test_line_dedup_of_frequent_lines_equals_all_pairs(spark, rare):
     rows += [(1000 + i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 12)))) for i in range(90)]
     rows += [(2000 + i, rows[-1 - i % 7][1]) for i in range(15)]
     got = {x.doc_id: x._gone for x in line_dedup.without_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare, length_column=None).collect() if x._gone}
-    assert got[900] == 4 and got == all_pairs_gone(rows)
+    assert got[900] == 4 and got == {k: n for k, (_, n) in plain_line_dedup(rows).items() if n}
 
 
 def test_line_dedup_odd_rows(spark):
     assert line_dedup.without_common_lines(spark.createDataFrame(ODD, DOC)).count() == 5
+    p, own = " ".join(f"p{i}" for i in range(25)), "a word or two"
+    rows = [(1, p), (2, f"{own}\n{p}"), (2, f"x\n{p}"), (2, f"x\n{p}"), (None, p), (3, p), (4, own), (5, None)]
+    df = spark.createDataFrame([(*r, i, "v") for i, r in enumerate(rows)], "doc_id long, text string, `_gone` int, `_k` string")
+    out = line_dedup.without_common_lines(df, length_column=None)
+    assert out.columns == ["doc_id", "text", "_k", "_gone"]
+    assert sorted(((r.doc_id, r.text, r._gone) for r in out.collect()), key=str) == sorted([(1, p, 0), (2, own, 1), (2, "x", 1), (2, "x", 1), (None, p, 0), (3, "", 1), (4, own, 0), (5, None, 0)], key=str)
+    assert sorted(r.doc_id or 0 for r in line_dedup.without_common_lines(df, length_column=None, least_left=0.1).collect()) == [0, 1, 2, 4, 5]
+    assert line_dedup.without_common_lines(df.limit(0)).count() == 0
 
 
 def test_license(spark):
@@ -429,3 +594,117 @@ def test_pipeline(spark):
         if name != "packing":
             assert d.columns == kept.columns
     assert set(r.doc_id for r in d.select("doc_id").distinct().collect()) == set(r.doc_id for r in kept.select("doc_id").collect())
+
+
+def plain_quality(t):
+    n, chars, symbols, same, again = brute_counts(t)
+    lines = sum(1 for x in t.split("\n") if WORD.search(x))
+    letters, capitals = len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t))
+    bad = n < 1 or 100 * again > 50 * n or chars < 2 * n or chars > 20 * n or 5 * symbols > n or lines >= 6 and 2 * same > lines or 2 * capitals > letters
+    return not (bad or 5 * len(re.findall("!+", t)) > n or 2 * len(re.findall(r"[^\W\d_]+", t)) < n)
+
+
+def plain_decontaminated(items, t, window=10):
+    """The text without runs of words in benchmark windows; None where half of its words are."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)]
+    words, hit = [lower(t[a:b]) for a, b in spans], set()
+    for _, x in items:
+        q = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+        k = min(window, len(q))
+        own = {tuple(q[i : i + k]) for i in range(len(q) - k + 1)} if q else set()
+        for i in range(len(words) - k + 1 if own else 0):
+            if tuple(words[i : i + k]) in own:
+                hit |= set(range(i, i + k))
+    if not hit:
+        return t
+    if len(hit) >= 0.5 * len(words):
+        return None
+    out, done = "", 0
+    for i in sorted(hit):
+        if i - 1 not in hit:
+            out += t[done : spans[i][0]].rstrip(" \t")
+        done = spans[i][1]
+    return out + t[done:]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(n))
+    items = [(i, say(30)) for i in range(3)] + [(3, "short item")]
+    passage = [say(15) for _ in range(4)]
+    rows = [(i, "\n".join(say(12) for _ in range(r.randint(1, 8)))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(3)] + [(110 + i, rows[i + 5][1].replace(" ", "  ", 3)) for i in range(3)]
+    rows += [(120 + i, "\n".join([say(30), *passage, say(30)])) for i in range(3)] + [(130 + i, f"{say(40)} {items[i][1]} {say(40)}") for i in range(3)]
+    long = say(150).split(" ")
+    rows += [(140, " ".join(long)), (141, " ".join([*long[:70], "other", *long[71:]])), (150, items[0][1]), (151, "## ** || $$ %%"), (152, "WE SHOUT HERE AND NOW"), (153, "a " * 90), (154, ""), (155, None)]
+    (tmp_path / "sf").mkdir()
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(5).write.parquet(str(tmp_path / "sf/documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    good = [(k, t) for k, t in rows if plain_quality(t or "")]
+    cut = plain_line_dedup(good)
+    lined = [(k, cut[k][0]) for k, t in good if not cut[k][1] or len(WORD.findall(cut[k][0])) >= 0.2 * len(WORD.findall(t))]
+    classes = {k: c for k, _, c in brute_classes(lined, 5, 4, 5)}
+    clean = {k: x for k, t in lined if classes[k] == k and (x := plain_decontaminated(items, t)) is not None}
+    assert len(good) < len(rows) and len(lined) < len(good) and len(classes) > len(set(classes.values())) and 150 not in clean and any(clean[k] != t for k, t in lined if k in clean)
+    got, sequences = defaultdict(list), defaultdict(list)
+    for x in corpus_pipeline.run(spark, str(tmp_path / "sf")).collect():
+        got[x.doc_id].append(x)
+        sequences[x.sequence_id].append((x.offset, x.length))
+    assert set(got) == set(clean)
+    t = Tokenizer.from_file(tokens.public("word_bpe_49k.json"))
+    for k, pieces in got.items():
+        ids, at = np.array([*t.encode(clean[k], add_special_tokens=False).ids, 2], "<u4"), 0
+        for x in sorted(pieces, key=lambda x: x.start):
+            assert (x.start, x.doc_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + x.length].tobytes()))
+            at += x.length
+        assert at == len(ids)
+    for s_ in sequences.values():
+        at = 0
+        for o, n in sorted(s_):
+            assert o == at
+            at += n
+        assert at <= 4096
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "one two three " * 20, "http://a.example.com/x", "<p>" + "y" * 1200, 5)] * 2 + [(None, None, None, None, None)]
+    names = ["n_words", "kept", "host", "verdict", "license", "start", "spans", "key", "same", "text_id", "part", "rest", "n_hit", "_own", "_t", "component_id", "digest"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, html string, n_chars int").withColumns({n: F.lit(1) for n in names})
+    assert quality.judged(df).select("kept").count() == 3 and quality.passing(df).columns == df.columns and pii.spans(df).count() == 3 and license_scan.scan(df).select("license").count() == 3
+    assert url_filter.judge(df, spark.createDataFrame([("example.com",)], "key string"), []).where("verdict = 'block'").count() == 2
+
+
+def test_clashing_names_of_stored_operators(spark):
+    rows = [(1, "one two three " * 20, "u", "y" * 1200, 5)] * 2 + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, html string, `key` int").withColumns({n: F.lit(1) for n in ("start", "holder", "digest", "n", "rest", "part", "same", "h", "node", "component_id", "chosen")})
+    assert token_store.read_back(spark, token_store.write(df)).count() == 3 and packing.pack(df).count() == 3
+    assert warc.assemble(warc.read(spark, warc.write(df.withColumn("page_id", F.col("doc_id"))))).count() == 3
+    assert setjoin.near_duplicates(df).count() == 3 and setjoin.one_of_each(df).count() == 2
+    assert line_dedup.without_common_lines(df).count() == 3 and decontam.report(df, df.select(F.lit(1).alias("item_id"), "text")).count() == 3
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, url string, html string, page_id long")
+    listed = spark.createDataFrame([], "key string")
+    for out in (quality.judged(df), quality.passing(df), pii.spans(df), license_scan.scan(df), url_filter.judge(df, listed, []), packing.pack(df), setjoin.near_duplicates(df), line_dedup.without_common_lines(df), token_store.read_back(spark, token_store.write(df)), warc.assemble(warc.read(spark, warc.write(df)))):
+        assert out.count() == 0
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "".join(chr(97 + i % 26) for i in range(2_000_000))), (2, "ab cd, e.f@g.hi 10.0.0.1\n" * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in quality.judged(df).collect()} == {1: 1, 2: 240_000}
+    assert {r.doc_id: (r.n_email, r.n_ip) for r in pii.spans(df).collect()} == {1: (0, 0), 2: (60_000, 60_000)}
+    assert license_scan.scan(df).where("license is not null").count() == 0 and line_dedup.without_common_lines(df).count() == 2
+    assert sorted(r.n_shingles for r in setjoin.near_duplicates(df).collect()) == [1, 4] and decontam.report(df, df.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 1")).where("contaminated").count() == 1
