@@ -1,14 +1,19 @@
-"""The training-data pipeline: quality rules, line dedup, near duplicates, benchmark decontamination, packing."""
+"""The training-data pipeline: quality rules, line dedup, near duplicates, benchmark decontamination, packing.
+
+Rows with a null key or text, repeated rows, empty and very long texts and other columns are treated in each stage as the
+docstring of its operator says; an empty table passes through all stages. A column named ``_gone`` or with the name of one
+that packing adds does not outlive its stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from streamgauge.llm import decontam, line_dedup, packing, quality, setjoin
-from streamgauge.llm.common import kept, table
+from streamgauge.llm.common import table, work
+from streamgauge.sources.scratch import fresh as scratch_place
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines shared with an earlier document go; so do documents of which nothing is left."""
-    out = line_dedup.without_common_lines(docs)
-    return out.where((F.col("_gone") == 0) | (F.trim(F.regexp_replace("text", "[\\x09-\\x0D]+", " ")) != "")).drop("_gone")
+    """Blocks of lines shared with an earlier document go. Documents of whose words less than a fifth is left go as a whole:
+    what remains of a copy with a few edits is scraps that no later stage could tell from a text. Null texts stay."""
+    return line_dedup.without_common_lines(docs, least_left=0.2).drop("_gone")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each stored before the next; what a stage stored for itself goes when it is done."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        place = scratch_place(spark, "stage-" + name.replace(" ", "-"))
+        with work(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(place)
+        docs = spark.read.schema(made.schema).parquet(place)
     return docs
