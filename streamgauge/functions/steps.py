@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational
 from ..operators.history import haversine_km
-from ..operators.ranking import ranked
+from ..operators.ranking import medians, ranked
 from ..operators.relational import lookup
 from ..sources.contracts import Declared
 from ..sources.scratch import fresh, kept
@@ -233,8 +233,7 @@ class MedianImputer(Step):
 
     def learn(self, df):
         cs = self.params["columns"]
-        r = df.agg(*[F.median(c).alias(c) for c in cs]).first() if cs else {}
-        return {"medians": {c: float(r[c]) if r[c] is not None else 0.0 for c in cs}}
+        return {"medians": {c: 0.0 if v is None else v for c, v in medians(df, cs).items()}}
 
     def columns(self, df):
         return {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in self.state["medians"].items()}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import medians
 from .steps import MISSING, RARE, UNSEEN, value_counts
 
 
@@ -27,8 +28,8 @@ class ModelView:
             raise ValueError(f"too many values for a view, encode them first: {large}")
         self.state = {"categorical": {c: [MISSING, UNSEEN, *(v for v, _ in vs if v not in (MISSING, UNSEEN))] for c, vs in counts.items()}, "numeric": numeric, "keep": list(keep)}
         if self.kind == "linear":
-            r = df.agg(*[f(c).alias(f"{c}|{n}") for c in numeric for n, f in (("d", F.median), ("m", F.avg), ("s", F.stddev_pop))]).first() if numeric else {}
-            self.state["medians"] = {c: float(r[f"{c}|d"] or 0.0) for c in numeric}
+            r = df.agg(*[f(c).alias(f"{c}|{n}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if numeric else {}
+            self.state["medians"] = {c: v or 0.0 for c, v in medians(df, numeric).items()}
             self.state["moments"] = {c: [float(r[f"{c}|m"] or 0.0), float(r[f"{c}|s"] or 0.0) or 1.0] for c in numeric}
             self.state["onehot"] = {c: [v for v, n in vs if n >= self.min_count] for c, vs in counts.items()}
         return self

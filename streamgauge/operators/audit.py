@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ranked, running, steps
+from .ranking import quantiles, ranked, running, steps
 
 
 def _long(pairs: list[tuple]) -> Column:
@@ -56,15 +56,22 @@ def order_profile(df: DataFrame, t: str, seq: str) -> DataFrame:
 
 
 def describe(df: DataFrame, c: str, by: list[str]) -> DataFrame:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), q.alias("_q"), F.max(c).alias("most"), F.count_if(F.col(c) == 0).alias("n_zero"), F.count_if(F.col(c) < 0).alias("n_negative"))
-    return out.select(*by, "n", "mean", "std", "least", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "most", "n_zero", "n_negative")
+    """Count, moments, range, exact quartiles, zeros and negatives of a column by group."""
+    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), F.count_if(F.col(c) == 0).alias("n_zero"), F.count_if(F.col(c) < 0).alias("n_negative"))
+    q = quantiles(df, c, [0.25, 0.5, 0.75], tuple(by)).withColumnsRenamed({x: f"_by{i}" for i, x in enumerate(by)})
+    on = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"_by{i}")) for i, x in enumerate(by)], F.lit(True))
+    return out.join(q, on, "left").select(*by, "n", "mean", "std", "least", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "most", "n_zero", "n_negative")
 
 
 def group_size_quantiles(df: DataFrame, key: str, at: list[float]) -> DataFrame:
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    q = sizes.agg(F.percentile("n", F.array(*map(F.lit, at))).alias("q"))
-    return q.select(*[F.col("q")[i].alias(f"q{int(a * 100):03d}") for i, a in enumerate(at)])
+    q = quantiles(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "n", at)
+    return q.select(*[F.col(f"q{i}").alias(f"q{int(a * 100):03d}") for i, a in enumerate(at)])
+
+
+def median_table(df: DataFrame, c: str, row: str, column: str, values: list[str]) -> DataFrame:
+    """A row for each value of ``row``, a column for each of ``values``: the exact median of ``c``."""
+    q = quantiles(df.where(F.col(column).isin(values)), c, [0.5], (row, column))
+    return df.select(row).distinct().join(q.groupBy(row).pivot(column, values).agg(F.first("q0")), row, "left")
 
 
 def top_decile_share(df: DataFrame, entity: str, y: str) -> DataFrame:

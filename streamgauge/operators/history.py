@@ -82,6 +82,41 @@ def entity_history(df: DataFrame, s: HistorySpec) -> DataFrame:
     return df.withColumn("h_amt_to_prev", F.when(F.col("h_prev_amt") > 0, F.col(s.amount) / F.col("h_prev_amt")))
 
 
+def split_windows(df: DataFrame, keys: list[str], t: str, seq: str, widths: dict[str, int], sums: dict[str, Column], block: int) -> DataFrame:
+    """``df`` with, for each width, ``<name>_n`` and ``<name>_<sum>``: the prior count and sums, by running sums of time blocks.
+
+    The frame of a row is the running sum up to it less that up to its window's start. Events and window starts are rows of
+    one table, dealt by keys and time block, so an entity of any size is spread over its blocks and a row costs the same
+    whatever its window holds. What the blocks before hold is added from one row a block. ``seq`` is unique within the keys.
+    """
+    terms = {"_c": F.lit(1.0)} | {f"_v{i}": F.coalesce(x.cast("double"), F.lit(0.0)) for i, x in enumerate(sums.values())}
+    named = df.withColumns({f"_k{i}": F.col(k) for i, k in enumerate(keys)} | {"_q": F.col(seq)})
+    own = [f"_k{i}" for i in range(len(keys))]
+    event = named.select(*own, "_q", F.col(t).alias("_x"), F.lit(0).alias("_kind"), *[x.alias(n) for n, x in terms.items()])
+    starts = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("kind"), (F.col(t) - w).alias("x")) for i, w in enumerate(widths.values())]))
+    probe = named.select(*own, "_q", starts.alias("_s")).select(*own, "_q", F.col("_s.x").alias("_x"), F.col("_s.kind").alias("_kind"), *[F.lit(0.0).alias(n) for n in terms])
+    rows = event.unionByName(probe).withColumn("_block", F.floor(F.col("_x") / block))
+    # at one instant events come before the window starts that leave them out, and by seq among themselves
+    so_far = Window.partitionBy(*own, "_block").orderBy("_x", F.col("_kind") > 0, "_q").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{n}_up": F.sum(n).over(so_far) for n in terms})
+    earlier = Window.partitionBy(*own).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = event.unionByName(probe).withColumn("_block", F.floor(F.col("_x") / block)).groupBy(*own, "_block").agg(*[F.sum(n).alias(n) for n in terms])
+    carried = totals.select(*[F.col(k).alias(f"{k}_b") for k in own], F.col("_block").alias("_block_b"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"{n}_before") for n in terms])
+    on = F.col("_block") == F.col("_block_b")
+    for k in own:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    rows = rows.join(carried, on).select(*own, "_q", "_kind", *[(F.col(f"{n}_up") + F.col(f"{n}_before") - F.when(F.col("_kind") == 0, F.col(n)).otherwise(0.0)).alias(n) for n in terms])
+    wide = rows.groupBy(*[F.col(k).alias(f"{k}_w") for k in own], F.col("_q").alias("_q_w")).agg(*[F.max(F.when(F.col("_kind") == i, F.col(n))).alias(f"{n}_{i}") for n in terms for i in range(len(widths) + 1)])
+    on = F.col("_q") == F.col("_q_w")
+    for k in own:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_w"))
+    out = []
+    for i, name in enumerate(widths):
+        out.append((F.col("_c_0") - F.col(f"_c_{i + 1}")).cast("long").alias(f"{name}_n"))
+        out += [(F.col(f"_v{j}_0") - F.col(f"_v{j}_{i + 1}")).alias(f"{name}_{x}") for j, x in enumerate(sums)]
+    return named.join(wide, on).select(*df.columns, *out)
+
+
 def context_history(df: DataFrame, s: HistorySpec) -> DataFrame:
     """Counts and sums by window within entity and context; a null context counts as one value."""
     for c in s.contexts:

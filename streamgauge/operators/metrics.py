@@ -41,7 +41,7 @@ def recall_at_fpr(df: DataFrame, y: str, p: str, most: float) -> DataFrame:
 def precision_at_budget(df: DataFrame, y: str, p: str, seq: str, rate: float) -> DataFrame:
     """Precision and recall of the top round(rate n) rows by score, ties by position."""
     k = max(1, round(rate * df.count()))
-    top = df.orderBy(F.desc(p), seq).limit(k)
+    top = ranked(df.select(y, p, seq), [F.desc(p), seq], "_rank").where(F.col("_rank") <= k)
     positives = df.agg(F.sum(F.col(y).cast("long"))).first()[0]
     return top.agg(F.lit(k).cast("long").alias("k"), F.avg(F.col(y).cast("double")).alias("precision"), (F.sum(F.col(y).cast("long")) / F.lit(positives)).alias("recall"))
 
@@ -226,5 +226,11 @@ def isotonic(df: DataFrame, y: str, p: str) -> tuple[list[float], list[float]]:
 
 
 def champion(candidates: list[dict]) -> dict:
-    """The candidate with the largest pr_auc, then the least brier; baselines named dummy are out."""
-    return max((c for c in candidates if c["name"] != "dummy"), key=lambda c: (c["pr_auc"], -c["brier"]))
+    """The candidate with the largest pr_auc, then the least brier, with ``calibrator``: its method of the least log loss.
+
+    Baselines named dummy are out. ``log_loss`` maps methods of calibration to losses; of equal ones the simpler is taken,
+    and without any the scores stay as they are.
+    """
+    best = max((c for c in candidates if c["name"] != "dummy"), key=lambda c: (c["pr_auc"], -c["brier"]))
+    losses = best.get("log_loss") or {"none": 0.0}
+    return best | {"calibrator": min(losses, key=lambda m: (losses[m], ("none", "platt", "isotonic").index(m)))}

@@ -87,7 +87,7 @@ def under_sample(df: DataFrame, y: str, seq: str, ratio: float = 1.0, seed: int
     if role != "train":
         raise ValueError("only a training fold may be resampled")
     n = df.agg(F.sum(F.col(y).cast("long"))).first()[0] or 0
-    least = df.where(f"{y} = 0").withColumn("_h", hashed(seq, seed)).orderBy("_h", seq).limit(round(n / ratio)).drop("_h")
+    least = ranked(df.where(f"{y} = 0").withColumn("_h", hashed(seq, seed)), ["_h", seq], "_rn").where(F.col("_rn") <= round(n / ratio)).drop("_h", "_rn")
     return df.where(f"{y} = 1").unionByName(least)
 
 

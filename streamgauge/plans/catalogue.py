@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.steps import Pipeline, step
 from ..functions.views import ModelView
-from ..operators import audit, history, metrics, neighbours, relational, splits
+from ..operators import audit, history, metrics, neighbours, ranking, relational, splits
 from ..sources import readers
 from ..sources.contracts import EVENTS
 from ..sources.scratch import fresh
@@ -381,7 +381,7 @@ def a16_describe_by_class(spark, sf_dir):
 
 @query("select o_orderpriority, round(median(o_totalprice) filter (where o_orderstatus = 'F'), 4) as \"F\", round(median(o_totalprice) filter (where o_orderstatus = 'O'), 4) as \"O\" from orders group by 1")
 def a18_pivot_median(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.round(F.median("o_totalprice"), 4))
+    return audit.median_table(t(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority", "o_orderstatus", ["F", "O"]).select("o_orderpriority", F.round("F", 4).alias("F"), F.round("O", 4).alias("O"))
 
 
 @query(f"with {ORDERS} select (t // {30 * 24 * HOUR})::bigint as bucket, count(*)::bigint as n, round(avg(o_totalprice), 4) as mean from o group by 1")
@@ -627,8 +627,8 @@ def m08_cost_threshold(spark, sf_dir):
 
 @query("select " + ", ".join(f"round(quantile_cont(value, {q}), 6) as q{int(q * 100):02d}" for q in (0.1, 0.5, 0.9)) + " from events")
 def t11_quantile_grid(spark, sf_dir):
-    q = t(spark, sf_dir, "events").agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return q.select(*[F.round(F.col("q")[i], 6).alias(f"q{x}") for i, x in enumerate((10, 50, 90))])
+    q = ranking.quantiles(t(spark, sf_dir, "events"), "value", [0.1, 0.5, 0.9])
+    return q.select(*[F.round(f"q{i}", 6).alias(f"q{x}") for i, x in enumerate((10, 50, 90))])
 
 
 # --- neighbours, streaming -------------------------------------------------------------------------------------------

@@ -144,6 +144,11 @@ def sk09_out_of_fold(spark, sf_dir):
     return kept(out, "oof").withColumn("p", F.round("p", 6))
 
 
+@query("""select '{"event":"scored","o_custkey":"' || substr(sha256(o_custkey::varchar), 1, 12) || '","o_orderstatus":"' || o_orderstatus || '"}' as line from orders""")
+def sk06_log_lines(spark, sf_dir):
+    return runs.log_lines(t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderstatus"], "scored")
+
+
 # --- filters, checks, lookups ----------------------------------------------------------------------------------------
 
 
@@ -249,6 +254,13 @@ def t06_top_findings(spark, sf_dir):
 # --- windows ---------------------------------------------------------------------------------------------------------
 
 
+@query(catalogue._hist_sql(ORDERS, "o", "o_orderkey", "o_custkey", "o_totalprice", (24, 720, 4320)))
+def win_hist_split_by_time(spark, sf_dir):
+    widths = {str(w): w * HOUR for w in (24, 720, 4320)}
+    out = history.split_windows(history.entity_history(orders(spark, sf_dir), order_spec(())), ["o_custkey"], "t", "o_orderkey", widths, {"amt": F.col("o_totalprice")}, 1440 * HOUR)
+    return out.select("o_orderkey", "h_n_prior", *[c for w in widths for c in (F.col(f"{w}_n").alias(f"h_cnt_{w}h"), F.round(f"{w}_amt", 2).alias(f"h_amt_{w}h"))])
+
+
 def _two_contexts() -> str:
     cols = [f"{frame('count', '*', f'o_custkey, {c}', 't', 'o_orderkey', w * HOUR)} as h_{c}_cnt_{w}h, round({frame('sum', 'o_totalprice', f'o_custkey, {c}', 't', 'o_orderkey', w * HOUR)}, 2) as h_{c}_amt_{w}h" for c in ("o_orderpriority", "o_orderstatus") for w in (720, 4320)]
     ratio = [f"round(case when h_{c}_cnt_4320h > 0 and h_{c}_amt_4320h > 0 then o_totalprice / (h_{c}_amt_4320h / h_{c}_cnt_4320h) end, 5) as h_amt_to_{c}_mean" for c in ("o_orderpriority", "o_orderstatus")]
@@ -519,6 +531,16 @@ def m12_permutation_importance(spark, sf_dir):
     return out.select("feature", (F.abs("drop") > 1e-9).alias("matters"))
 
 
+@query(f"with {_CURVE}, a as (select round(sum(pos * tp * 1.0 / (tp + fp)) / sum(pos), 6) as x from c), b as (select round(avg(y), 6) as x from s) select case when a.x >= b.x then 'score' else 'rate' end as name, 'platt' as calibrator from a, b")
+def m10_champion(spark, sf_dir):
+    s = kept(scored(spark, sf_dir).select("doc_id", "y", "p"), "scored")
+    found = []
+    for name, df in (("dummy", s), ("score", s), ("rate", s.withColumn("p", F.lit(0.5)))):
+        found.append({"name": name, "pr_auc": metrics.average_precision(df, "y", "p").first()[0], "brier": metrics.calibration(df, "y", "p", "doc_id").first().brier, "log_loss": {"none": 0.7, "platt": 0.4, "isotonic": 0.4}})
+    best = json.loads(runs.locked_json(found, metrics.policy_thresholds(s, "y", "p", "doc_id", fprs=(), alerts=(0.1,))))["champion"]
+    return spark.createDataFrame([(best["name"], best["calibrator"])], "name string, calibrator string")
+
+
 def _separable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.pmod("c_custkey", F.lit(5)).alias("noise"), (F.col("c_acctbal") > 4000).cast("int").alias("y"))
 

@@ -86,3 +86,17 @@ def report(title: str, tables: dict[str, DataFrame], most: int = 50) -> str:
         out += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:most]]
         out += ["", f"More than {most} rows."] if len(rows) > most else []
     return "\n".join(out) + "\n"
+
+
+def log_lines(df: DataFrame, ids: list[str], columns: list[str], event: str):
+    """line: a JSON line a row with the event's name, hashed ids and the given columns; nothing else of the row gets out."""
+    from ..functions.scalars import safe_id
+
+    return df.select(F.to_json(F.struct(F.lit(event).alias("event"), *[safe_id(F.col(c)).alias(c) for c in ids], *columns)).alias("line"))
+
+
+def locked_json(candidates: list[dict], thresholds: DataFrame, **more) -> str:
+    """The choice that opens the sealed hold-out, as JSON: the champion, its calibrator and the thresholds."""
+    from ..operators.metrics import champion
+
+    return json.dumps({"champion": champion(candidates), "thresholds": {r["name"]: r["threshold"] for r in thresholds.collect()}, **more}, sort_keys=True)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from streamgauge.functions import requests, scalars
 from streamgauge.functions.steps import Pipeline, step
 from streamgauge.functions.views import ModelView
 from streamgauge.operators import audit, history, metrics, models, neighbours, ranking, relational, splits
@@ -36,6 +37,26 @@ def test_windows_with_ties_and_borders(spark):
     assert got[1001]["h_cnt_10h"] == 0 and got[1002]["h_cnt_10h"] == 1
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_windows_split_by_time(spark, block):
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 1, None]), rng.randint(-20, 40), i, float(rng.randint(1, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "e int, t long, s int, a double")
+    got = {r.s: r for r in history.split_windows(df, ["e"], "t", "s", {"one": 1, "ten": 10}, {"a": F.col("a")}, block).collect()}
+    for name, w in (("one", 1), ("ten", 10)):
+        for s, (n, total) in brute(rows, w).items():
+            assert (got[s][f"{name}_n"], got[s][f"{name}_a"]) == (n, total)
+
+
+def test_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 9))])) for _ in range(200)] + [("c", None)]
+    got = {r.g: list(r)[1:] for r in ranking.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", [0.0, 0.25, 0.5, 0.9, 1.0], ("g",)).collect()}
+    want = {g: np.quantile([v for h, v in rows if h == g and v is not None], [0.0, 0.25, 0.5, 0.9, 1.0]) for g in ("a", "b", None)}
+    assert set(got) == set(want) and all(np.allclose(got[g], want[g]) for g in want)
+    assert ranking.medians(spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double"), ["x", "y"]) == {"x": 1.5, "y": None}
+
+
 def test_future_never_changes_the_past(spark):
     rows = [(1, t, t, float(t)) for t in range(50)]
     spec = history.HistorySpec("e", "t", "s", "a", (), (5,), unit=1)
@@ -244,6 +265,19 @@ def test_targets_and_runs(spark, tmp_path):
     assert json.loads(runs.manifest_json(["v1", "z"], {"v": r"v\d"}))["families"] == {"v": 1, "other": 1}
 
 
+def test_event_checks(spark):
+    fields = [requests.Field("id", "int"), requests.Field("at", "datetime"), requests.Field("unix", "int"), requests.Field("born", "datetime", nullable=True), requests.Field("x", "float", least=-1, most=1)]
+    cross = {"clock": scalars.time_of_day_differs(F.col("unix"), F.col("at")), "born": F.col("born") >= F.col("at")}
+    good = {"id": 1, "at": "2020-01-02 00:00:10", "unix": 86410, "x": 0.5}
+    rows = [(good, []), ({**good, "unix": 86500}, ["clock"]), ({**good, "born": "2021-01-01 00:00:00"}, ["born"]), ({**good, "born": None}, []), ({**good, "x": 2}, ["x:range"]), ({**good, "id": 1.5}, ["id:type"]), ({**good, "at": "soon"}, ["at:type"]), ({**good, "z": 0}, ["z:unknown"]), ({k: v for k, v in good.items() if k != "id"}, ["id:missing"])]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(rows)] + [(100, "{"), (101, None), (102, "[1]")], "n int, body string")
+    out = requests.checked(df, "body", fields, cross)
+    got = {r.n: list(r.errors) for r in out.select("n", "errors").collect()}
+    assert got == {i: e for i, (_, e) in enumerate(rows)} | {100: ["json"], 101: ["json"], 102: ["json"]}
+    sound, aside = requests.routed(out)
+    assert sound.count() == 2 and aside.count() == 10
+
+
 def test_models(spark):
     df = spark.createDataFrame([(i, float(i % 10), i % 3, int(i % 10 > 6)) for i in range(200)], "s int, x double, z int, y int")
     assert abs(models.Model("dummy").fit(df, [], "y").fitted - 0.3) < 1e-9
