@@ -61,8 +61,8 @@ TITLES = {
 
 #: The steps of the canonical form: pattern, replacement. They read alike in Java's and RE2's pattern languages.
 STEPS = (
-    ("(^|\n)([ \t]*(//|#|\\*)*[ \t]*)copyright([ \t]+(holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|and|or|in|is|to|as|of)([^a-z]|$))", "$1$2_copyright$4"),
-    ("(^|\n)[ \t]*(//|#|\\*)*[ \t]*(copyright|\\(c\\)|©)[^\n]*", "$1"),
+    ("(^|\n)([ \t]*((//|#|\\*)+[ \t]*)?)copyright([ \t]+(holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|and|or|in|is|to|as|of)([^a-z]|$))", "$1$2_copyright$5"),
+    ("(^|\n)[ \t]*((//|#|\\*)+[ \t]*)?(copyright|\\(c\\)|©)[^\n]*", "$1"),
     ("all rights reserved", " "),
     ("[^a-z0-9\u0080-\U0010ffff]+", " "),
 )
