@@ -164,11 +164,17 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         base = matches(base, "t", LOOSE[kind], F.col("t").rlike(LOOSE_HINT[kind]), f"_loose_{kind}")
     all_base = F.flatten(F.array(*[_tagged(k, f"_{k}") for k in KINDS]))
     base = base.withColumn("_base", all_base)
-    # a candidate that touches any base span is no candidate
+    # a candidate that touches any base span is no candidate; spans are asked in sorted blocks, as a long text can have very many
+    slim = "array_sort(transform(_base, b -> struct(b.s as s, b.e as e)))"
+    base = base.withColumn("_sorted", F.expr(f"if(size(_base) = 0, cast(array() as array<struct<s:bigint,e:bigint>>), {slim})"))
+    block = f"slice(_sorted, cast(i * {_BLOCK} + 1 as int), {_BLOCK})"
+    blocks = f"transform(sequence(0, (size(_sorted) - 1) div {_BLOCK}), i -> struct({block}[0].s as lo, array_max(transform({block}, x -> x.e)) as hi, {block} as spans))"
+    base = base.withColumn("_blocks", F.expr(f"if(size(_sorted) = 0, cast(array() as array<struct<lo:bigint,hi:bigint,spans:array<struct<s:bigint,e:bigint>>>>), {blocks})"))
+    touched = "exists(_blocks, k -> k.lo < c.e and c.s < k.hi and exists(k.spans, b -> b.s < c.e and c.s < b.e))"
     for kind in ALL_KINDS:
-        base = base.withColumn(f"_loose_{kind}", F.expr(f"if(size(_loose_{kind}) = 0, _loose_{kind}, filter(_loose_{kind}, c -> not exists(_base, b -> b.s < c.e and c.s < b.e)))"))
+        base = base.withColumn(f"_loose_{kind}", F.expr(f"if(size(_loose_{kind}) = 0 or size(_sorted) = 0, _loose_{kind}, filter(_loose_{kind}, c -> not {touched}))"))
     some = reduce(lambda a, b: a | b, [F.size(f"_loose_{k}") > 0 for k in ALL_KINDS]) | (F.size("_base") > 0)
-    base = base.withColumn("text_id", F.when(some, F.sha2("t", 256))).drop("t", "_base")
+    base = base.withColumn("text_id", F.when(some, F.sha2("t", 256))).drop("t", "_base", "_sorted", "_blocks")
     base = kept(base, "pii-base")
     found = kept(occurrences(base.where("text_id is not null").dropDuplicates(["text_id"])), "pii-occurrences")
     accepted = scored(found, rounds, least_seeds, sure)
