@@ -96,7 +96,7 @@ class _Pieces(_Table):
 class ByteEncoder(_Table):
     """Byte-level vocabulary. Keys: a word with a blank before it (kept without the blank), or a line feed and a word."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__(most)
         from tokenizers import Tokenizer
 
@@ -141,7 +141,7 @@ class ByteEncoder(_Table):
 class WordEncoder(_Table):
     """Vocabulary with word ends, lower case, white space dropped. Keys: words between white space."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__(most)
         from tokenizers import Tokenizer
 
