@@ -33,8 +33,8 @@ class KeyBits:
 
         words = np.zeros(bits // 64, np.uint64)
         marked = keys.select(column).mapInArrow(mark, "w long, bit long").groupBy("w").agg(F.expr("bit_or(bit)").alias("bit"))
-        for r in marked.coalesce(8).toLocalIterator():  # at most bits / 64 rows; a job a partition
-            words[r.w] = np.uint64(r.bit & 0xFFFFFFFFFFFFFFFF)
+        found = marked.toArrow()  # at most bits / 64 rows: 32 MB
+        words[found["w"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
         self.words = keys.sparkSession.sparkContext.broadcast(words)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:

@@ -43,7 +43,7 @@ from .wordhash import mix, shingle_hashes, word_hashes
 
 _BITS = 40
 #: Entries of a block of an index list, and pairs of blocks that are opened at a time.
-_BLOCK, _OPENED = 64, 256
+_BLOCK, _OPENED = 64, 64
 _FLUSH = 2_000_000
 
 
@@ -203,7 +203,7 @@ class Join:
         sizes = {r.level: r.n for r in found.groupBy(F.floor(F.log2("c")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
         while sum(n for level, n in sizes.items() if 2 ** (level + 1) > floor) > self.most_heavy:
             floor *= 2
-        return np.sort(np.array([r.h for r in found.where(F.col("c") >= floor).select("h").coalesce(8).toLocalIterator()], np.uint64))
+        return np.sort(found.where(F.col("c") >= floor).select("h").toArrow()["h"].to_numpy().astype(np.uint64))  # at most 32 MB
 
     def postings(self, heavies: np.ndarray) -> DataFrame:
         """Pass 2: the index. A row for each shingle in the prefix of a set."""
