@@ -279,10 +279,10 @@ def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     A bitmap of the keys with lines to cut picks the documents to join; the texts of all others are not shuffled.
     """
     gone = kept(removals(docs, key, text, rare, least_words), "lines-gone")
-    own = docs.select(F.struct("*").alias("_own"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    own = docs.select(F.struct("*").alias("_own"), F.col(key).cast("long").alias("_key"), same_text(text).alias("_hash"))
     may = KeyBits(gone, "key").column(F.col("_key"))
     found = gone.select(F.col("key").alias("_k"), F.col("same").alias("_same"), F.col("gone").alias("_places"))
-    joined = own.where(may).join(found, (F.col("_key") == F.col("_k")) & (same_text("_text") == F.col("_same")), "left")
+    joined = own.where(may).join(found, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_same")), "left").withColumn("_text", F.col("_own").getField(text))
     wordy = f"x rlike '[^{BLANKS}]'".replace("\\", "\\\\")
     # _at: the line of each place; _off: lines to delete, with blank lines between two neighbouring places
     out = joined.withColumn("_lines", F.when(F.col("_places").isNotNull(), F.split("_text", "\n", -1)))
