@@ -407,14 +407,15 @@ class Join:
         joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         upper = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
         docs = scanned.where("kind = 0").select("key", "same", "node", "n")
-        own = docs.where("n > 0").join(roots, "node", "left").select("key", "same", "n", F.coalesce("root", "node").alias("root"))
-        own = kept(own.join(upper, "root", "left").select("key", "same", "n", F.coalesce("top", "root").alias("top")), "setjoin-tops")
+        # by sorting: a set or class that a large share of all rows has can then be split
+        own = docs.where("n > 0").join(roots.hint("merge"), "node", "left").select("key", "same", "n", F.coalesce("root", "node").alias("root"))
+        own = kept(own.join(upper.hint("merge"), "root", "left").select("key", "same", "n", F.coalesce("top", "root").alias("top")), "setjoin-tops")
         # stored, so that the join can split a class that holds a large share of all rows
         first = F.min(F.struct(F.col("key").isNull().alias("without"), "key", "same"))
         least = kept(own.groupBy("top").agg(F.min("key").alias("component"), first.alias("first")), "setjoin-least")
         stays = (F.col("first.key").eqNullSafe(F.col("key"))) & (F.col("first.same") == F.col("same"))
         alone = docs.where("n = 0").select("key", "same", "n", F.col("key").alias("component"), F.lit(True).alias("stays"))
-        return own.join(least, "top").select("key", "same", "n", "component", stays.alias("stays")).unionByName(alone)
+        return own.join(least.hint("merge"), "top").select("key", "same", "n", "component", stays.alias("stays")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 4, den: int = 5, heavy: int = 64, most_heavy: int = 4_000_000) -> DataFrame:
