@@ -96,7 +96,7 @@ class _Pieces(_Table):
 class ByteEncoder(_Table):
     """Byte-level vocabulary. Keys: a word with a blank before it (kept without the blank), or a line feed and a word."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         super().__init__(most)
         from tokenizers import Tokenizer
 
